@@ -91,23 +91,25 @@ def stale_reply_pairs(conversations: DataFrame) -> DataFrame:
 
 def op9_preference_format(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return format_preferences(stale_reply_pairs(conversations_of(turns)))
+    out = format_preferences(stale_reply_pairs(conversations_of(turns)))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",").alias(c)
+    return out.select("conv_id", "prompt", F.col("prompt_turns").cast("long").alias("prompt_turns"), "chosen_text", told("chosen_mask"), "rejected_text", told("rejected_mask"))
 
 
 SQL = r"""
 WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id),
-r AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant') AS at FROM c),
+r AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant') AS places FROM c),
 s AS (
-  SELECT conv_id, t, len(at) AS k, at[len(at)] AS z, CASE WHEN len(at) > 1 THEN t[at[len(at) - 1]].text ELSE '' END AS stale FROM r),
+  SELECT conv_id, t, len(places) AS k, places[len(places)] AS z, CASE WHEN len(places) > 1 THEN t[places[len(places) - 1]].text ELSE '' END AS stale FROM r),
 w AS (
   SELECT *, k > 0 AND t[z].text = stale AS same,
          list_transform(t, lambda x: '<|turn|>' || coalesce(x.role, '') || E'\n' || coalesce(x.text, '') || E'<|end|>\n') AS u FROM s),
 p AS (SELECT *, CASE WHEN k = 0 THEN len(t) WHEN same THEN z ELSE z - 1 END AS n FROM w)
-SELECT conv_id, coalesce(array_to_string(u[1:n], ''), '') AS prompt, n::INTEGER AS prompt_turns,
+SELECT conv_id, coalesce(array_to_string(u[1:n], ''), '') AS prompt, n::BIGINT AS prompt_turns,
        CASE WHEN k = 0 OR same THEN '' ELSE u[z] END AS chosen_text,
-       CASE WHEN k = 0 OR same THEN [] ELSE [{'start': 18, 'stop': (26 + length(t[z].text))::INTEGER}] END AS chosen_mask,
+       CASE WHEN k = 0 OR same THEN '' ELSE '18-' || (26 + length(t[z].text)) END AS chosen_mask,
        CASE WHEN k = 0 OR same THEN '' ELSE '<|turn|>assistant' || E'\n' || stale || E'<|end|>\n' END AS rejected_text,
-       CASE WHEN k = 0 OR same THEN [] ELSE [{'start': 18, 'stop': (26 + length(stale))::INTEGER}] END AS rejected_mask
+       CASE WHEN k = 0 OR same THEN '' ELSE '18-' || (26 + length(stale)) END AS rejected_mask
 FROM p
 """
 
