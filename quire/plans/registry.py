@@ -1,4 +1,7 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE = {}
+from . import catalog_queries, data_queries
+
+MODULES = (catalog_queries, data_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
