@@ -7,8 +7,9 @@ this verifies the candidates of the bands before the full shingle sets confirm t
 
 No bucket is expanded into its pairs. Documents with equal shingle sets are one node. In a bucket every node is first
 paired with the smallest one; the confirmed links give components. Only a bucket of three nodes or more that still
-spans components can hide a link between them, and its nodes are then compared in blocks, sketch against sketch, which
-emits only pairs of different components that the sketches let through.
+spans components can hide a link between them. Such buckets make clusters, and the nodes of a cluster are compared in
+blocks: sketch against sketch, then set against set, passing over pairs whose components are joined already, so that a
+block gives at most one link for each component that it joins.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ SAMPLES = 128
 SKETCH_BITS = 1024
 #: Standard errors of the estimate that a candidate may lie below the limit.
 MARGIN = 5.0
-#: Nodes of a bucket that are compared with as many others at once.
-BLOCK = 512
+#: Nodes of a cluster that are compared with as many others at once.
+BLOCK = 2048
 #: Bytes of text that are hashed together.
 CHUNK = 4 << 20
 
@@ -169,20 +170,34 @@ def odd_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _cross_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of different components that the sketches of two blocks of one bucket let through."""
-    side = np.asarray(table["side"])
-    node, comp = np.asarray(table["node"]), np.asarray(table["comp"])
+def _cross_links(table: pa.Table) -> pa.Table:
+    """Links between components that two blocks of one cluster hold: at most one for each two components that it joins.
+
+    Sketches go first, full sets confirm, and pairs whose components are joined already are passed over.
+    """
+    table = table.combine_chunks()
+    side, node = np.asarray(table["side"]), np.asarray(table["node"])
+    _, label = np.unique(np.asarray(table["comp"]), return_inverse=True)
     sketch = np.array(table["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(len(node), -1)
+    lists = table["set"].combine_chunks()
+    values, bounds = np.asarray(lists.flatten()), np.asarray(lists.offsets)
+    size = np.diff(bounds)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     right = right if len(right) else left  # a block against itself
-    a, b, most = [], [], most_odd_bits()
+    most, out = most_odd_bits(), []
     for i in left:
         odd = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1)
-        hit = right[(odd <= most) & (comp[right] != comp[i])]
-        a.append(np.minimum(node[hit], node[i]))
-        b.append(np.maximum(node[hit], node[i]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        alike = (odd <= most) & (label[right] != label[i])
+        alike &= 100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i])
+        own = values[bounds[i] : bounds[i + 1]]
+        for j in right[alike][np.argsort(odd[alike], kind="stable")]:
+            if label[j] != label[i]:
+                both = len(np.intersect1d(own, values[bounds[j] : bounds[j + 1]], assume_unique=True))
+                if 100 * both >= PERCENT * (size[i] + size[j] - both):
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    label[label == label[j]] = label[i]
+    found = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -235,16 +250,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(texts.mapInArrow(_sets, "node long, set array<long>"), "neardup-sets")
     links = written(linked(pairs, sets), "neardup-links")
     comps = components(links, "neardup-star")
-    # buckets that still span components
+    # buckets that still span components; those that share a node are one cluster, so a node is in one only
     labelled = members.where("nodes > 2").join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("in_bucket")).where("lo <> hi")
-    rest = written(labelled.join(open_buckets, "bucket").select("bucket", "node", "comp", "in_bucket").join(sketches, "node"), "neardup-open")
-    blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
+    open_buckets = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first")).where("lo <> hi")
+    rest = written(labelled.join(open_buckets, "bucket").select("node", "comp", "first").distinct(), "neardup-open")
+    clusters = components(rest.select(F.col("node").alias("a"), F.col("first").alias("b")), "neardup-clusters").select("node", F.col("comp").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("in_cluster"))
+    rows = rest.select("node", "comp").distinct().join(clusters, "node").join(sizes, "cluster").join(sketches, "node").join(sets, "node")
+    blocks = F.ceil(F.col("in_cluster") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sketch")
-    cross = dealt.groupBy("bucket", "i", "j").applyInArrow(_cross_pairs, "a long, b long").distinct()
-    more = written(linked(cross, sets), "neardup-more")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sketch", "set")
+    more = written(dealt.groupBy("cluster", "i", "j").applyInArrow(_cross_links, "a long, b long"), "neardup-more")
     if not more.isEmpty():
         comps = components(links.unionByName(more), "neardup-star2")
     of_key = nodes.select("key", "node").join(comps, "node", "left").select(F.col("key").alias("_key"), F.coalesce("comp", "node").alias("comp"))
