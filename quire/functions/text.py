@@ -100,7 +100,7 @@ def author_names(value: Column) -> Column:
     parts = F.split(F.coalesce(value, F.lit("")), r"(?i)\s*&\s*|\s+and\s+|\s*;\s*")
     commas = lambda p: F.length(p) - F.length(F.replace(p, F.lit(","), F.lit("")))
     pieces = F.flatten(F.transform(parts, lambda p: F.when(commas(p) > 1, F.split(p, ",")).otherwise(F.array(p))))
-    return F.filter(F.transform(pieces, F.trim), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda p: F.length(p) > 0)
 
 
 def marker_id(text: Column, prefix: int = MARKER_PREFIX) -> Column:
@@ -145,7 +145,7 @@ def looks_like_markup(text: Column) -> Column:
 
 def subject_list(value: Column) -> Column:
     """Entries of a list that is separated by bars, semicolons or line ends."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"[|;\n]"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"[|;\n]"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def excerpt(text: Column, most: int) -> Column:

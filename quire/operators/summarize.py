@@ -134,11 +134,14 @@ def normalized_summary(text: Column) -> Column:
     return F.trim(out)
 
 
-@F.pandas_udf("double")
-def lexical_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def lexical_ratio(a: Column, b: Column) -> Column:
     """Ratio of matching blocks of two normalised texts."""
-    norm = lambda t: " ".join(re.sub(r"[^a-z0-9]+", " ", (t or "").lower()).split())
-    return pd.Series([difflib.SequenceMatcher(None, norm(x), norm(y)).ratio() for x, y in zip(a, b, strict=True)])
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        norm = lambda t: " ".join(re.sub(r"[^a-z0-9]+", " ", (t or "").lower()).split())
+        return pd.Series([difflib.SequenceMatcher(None, norm(x), norm(y)).ratio() for x, y in zip(a, b, strict=True)])
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -25,21 +25,19 @@ TRAILER_MARKS = (
 SPELLED = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth"
 PREAMBLE_LINES, PREAMBLE_LATEST = 800, 500
 HEADING = rf"^\s*(?:chapter|book|part|section|act|canto|scene|volume)\s+(?:the\s+)?(?:[ivxlcdm]+|\d+|{SPELLED.replace(' ', '|')})\.?(?:\s*[:\-–—]\s*.{{0,80}})?\s*$"
-REPAIR_HEADING = rf"^\s*(?:chapter|book|part|section)\s+(?:[ivxlcdm]+|\d+|{SPELLED.replace(' ', '|')})\b.{{0,100}}$"
+REPAIR_HEADING = rf"^\s*(?:chapter|book|part|section)\s+(?:the\s+)?(?:[ivxlcdm]+|\d+|{SPELLED.replace(' ', '|')})\b(?:\s*[:.\-–—]\s*.*)?\s*$"
 HEADING_CHARS = 180
 CHAPTER_LISTING = r"^\s*(chapter|book|part|section)\s+([ivxlcdm]+|\d+)\b"
 
 
-def text_function(kind: str = "string"):
-    """An Arrow-batched function of one text column; null stays null."""
+def text_function(kind: str = "string") -> Callable:
+    """An Arrow-batched function of one text column; null stays null. It is made on first use, when there is a session."""
 
-    def wrap(function: Callable):
-        @F.pandas_udf(kind)
+    def wrap(function: Callable) -> Callable[[Column], Column]:
         def run(column: pd.Series) -> pd.Series:
             return column.map(lambda t: None if t is None else function(t))
 
-        run.plain = function
-        return run
+        return lambda column: F.pandas_udf(run, kind)(column)
 
     return wrap
 
@@ -47,21 +45,22 @@ def text_function(kind: str = "string"):
 # Markup and whitespace (native)
 
 
-def strip_markup(text: Column) -> Column:
-    """Text without declarations, character data marks, blockout lines, script and style blocks, comments and tags of up to 200 characters."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)<\?xml[^>]*\?>", " ")
-    out = F.regexp_replace(out, r"(?im)^\s*/\*\s*(?:<!\[CDATA\[\s*)?xml (?:blockout|start|end)[^\n]*$", " ")
-    out = F.regexp_replace(out, r"(?i)<!\[CDATA\[|\]\]>", " ")
-    out = F.regexp_replace(out, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
+def strip_markup(text: Column, dangling_css: bool = False) -> Column:
+    """Text without declarations, character data marks, blockout lines, script and style blocks, comments and tags of up to 200 characters.
+
+    ``dangling_css`` also takes out a style block that an unclosed comment opens, which needs a line scanner.
+    """
+    out = F.coalesce(text, F.lit(""))
+    for pattern in (r"(?i)<\?xml[^>]*\?>", r"(?im)^\s*/\*\s*(?:<!\[CDATA\[\s*)?xml (?:blockout|start|end)[^\n]*$", r"(?i)<!\[CDATA\[|\]\]>", r"(?is)<(script|style)\b[^>]*>.*?</\1>", r"(?s)<!--.*?-->"):
+        out = F.regexp_replace(out, pattern, " ")
+    out = scan_css(out) if dangling_css else out
     out = F.regexp_replace(out, r"(?i)</?[a-z][^>]{0,200}>", " ")
-    return tidy(out)
+    return tidy(F.regexp_replace(out, r"(?im)^\s*xml blockout\s*$", " "))
 
 
 def tidy(text: Column) -> Column:
-    """No spaces at line ends, at most one empty line in a row, runs of spaces as one."""
-    out = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"), F.lit(" \n"))
+    """No spaces at line ends and at most one empty line in a row; spaces inside lines stay, as they set off columns."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), F.lit(" \n\t\r"))
 
 
 def strip_trailer(text: Column) -> Column:
@@ -180,7 +179,7 @@ scan_css = text_function()(strip_dangling_css)
 
 def clean(raw: Column) -> Column:
     """The whole cleaning: markup, preamble, contents pages, trailer."""
-    return F.trim(strip_trailer(scan_text(strip_preamble(strip_markup(scan_css(raw))))), F.lit(" \n"))
+    return F.trim(strip_trailer(scan_text(strip_preamble(strip_markup(raw, dangling_css=True)))), F.lit(" \n"))
 
 
 def recleaned(contents: DataFrame) -> DataFrame:

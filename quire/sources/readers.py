@@ -18,7 +18,7 @@ MAIN_SUFFIXES = ("-h.htm", "-h.html", "-images.html", "/index.html")
 
 def _all(xml: Column, path: str) -> Column:
     """Texts of a path by local names."""
-    return F.filter(F.transform(F.xpath(xml, F.lit(path)), F.trim), lambda t: F.length(t) > 0)
+    return F.filter(F.transform(F.xpath(xml, F.lit(path)), lambda s: F.trim(s)), lambda t: F.length(t) > 0)
 
 
 def rdf_records(files: DataFrame, xml: str = "content") -> DataFrame:
@@ -192,25 +192,31 @@ def bytes_to_text(raw: bytes, name: str = "", kind: str = "") -> str:
     return decode_bytes(raw)
 
 
-@F.pandas_udf("string")
-def file_text(content: pd.Series, name: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else bytes_to_text(bytes(c), n or "", k or "") for c, n, k in zip(content, name, kind, strict=True)])
+def file_text(content: Column, name: Column, kind: Column) -> Column:
+    """Text of file contents; null stays null."""
 
+    def run(content: pd.Series, name: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else bytes_to_text(bytes(c), n or "", k or "") for c, n, k in zip(content, name, kind, strict=True)])
 
-@F.pandas_udf("string")
-def epub_html(content: pd.Series) -> pd.Series:
+    return F.pandas_udf(run, "string")(content, name, kind)
+
+
+def joined_epub(raw: bytes) -> str:
     """One page from the documents of an EPUB in reading order."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+        bodies = []
+        for n in spine_documents(archive):
+            page = decode_bytes(archive.read(n))
+            body = re.search(r"(?is)<body\b[^>]*>(.*?)</body>", page)
+            bodies.append(f"<section>{body[1] if body else page}</section>")
+        return "<html><body>" + "".join(bodies) + "</body></html>"
 
-    def one(raw):
-        with zipfile.ZipFile(io.BytesIO(bytes(raw))) as archive:
-            bodies = []
-            for n in spine_documents(archive):
-                page = decode_bytes(archive.read(n))
-                body = re.search(r"(?is)<body\b[^>]*>(.*?)</body>", page)
-                bodies.append(f"<section>{body[1] if body else page}</section>")
-            return "<html><body>" + "".join(bodies) + "</body></html>"
 
-    return content.map(lambda c: None if c is None else one(c))
+def epub_html(content: Column) -> Column:
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: None if c is None else joined_epub(bytes(c)))
+
+    return F.pandas_udf(run, "string")(content)
 
 
 def summary_node(page: str) -> str:
@@ -226,9 +232,10 @@ def summary_node(page: str) -> str:
     return " ".join(re.sub(r"<[^>]+>", " ", page[at:]).split())
 
 
-@F.pandas_udf("string")
-def page_summary(html: pd.Series) -> pd.Series:
-    return html.map(lambda t: None if t is None else summary_node(t))
+def page_summary(html: Column) -> Column:
+    from ..operators.texts import text_function
+
+    return text_function()(summary_node)(html)
 
 
 def librivox_items(responses: DataFrame) -> DataFrame:
