@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if partition_by is None else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

@@ -283,11 +283,14 @@ def fit(docs: DataFrame, labels: DataFrame, of_class: int = TRAIN_OF_CLASS) -> M
     return train([(r[1] or "").encode() for r in rows], np.array([r[2] for r in rows]), share)
 
 
-def score_texts(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry`` and a score from 0 to 1 for each row of ``docs``. Null and empty texts get the lowest score of a text without words."""
+def score_texts(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``carry`` and a score from 0 to 1 for each row of ``docs``; the score's name wins over a column of ``docs``.
+
+    Null and empty texts get the score of a text without words, the lowest.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    source = docs.select(*carry, docs["text"].alias("_text"))
-    names = list(carry)
+    names = [c for c in carry if c != name]
+    source = docs.select(*names, docs["text"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .near_dup import texts_of
@@ -303,17 +306,17 @@ def score_texts(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("do
                         parts.append(shared.value.scores(group))
                         cut, group, total = i + 1, [], 0
                 part = rows.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(parts))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(parts))], names=[*names, name])
 
     kinds = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double")
+    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{name}` double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the texts that score ``threshold`` or more. The texts travel with their rows, so no join is needed."""
     machine = fit(docs, labels)
-    out = score_texts(docs, machine, tuple(docs.columns))
-    return out.where(F.col("score") < threshold).select(*docs.columns)
+    out = score_texts(docs, machine, tuple(docs.columns), "_toxicity")
+    return out.where(F.col("_toxicity") < threshold).select(*docs.columns)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
