@@ -118,6 +118,26 @@ def missing_from(books: DataFrame, contents: DataFrame) -> DataFrame:
     return books.join(contents.select("bookid"), "bookid", "left_anti")
 
 
+def with_other_marker(contents: DataFrame, books: DataFrame) -> DataFrame:
+    """Books whose text names another one in its header."""
+    from ..functions.text import marker_mismatch
+
+    own = contents.join(books.select(F.col("id").alias("bookid"), "gutenbergbookid"), "bookid")
+    return own.where(marker_mismatch(F.col("raw_content"), F.col("gutenbergbookid"))).select("bookid", "gutenbergbookid")
+
+
+def incomplete_descriptions(books: DataFrame, desc: DataFrame) -> DataFrame:
+    """Books without a description, or with one that has no summary."""
+    full = desc.where("trim(coalesce(summary, '')) <> ''").select("bookid")
+    return books.join(full, books["id"] == full["bookid"], "left_anti")
+
+
+def audio_gaps(books: DataFrame, audio: DataFrame, limit: int | None = 5000) -> DataFrame:
+    """Books without audio, most downloaded first."""
+    found = books.join(audio, books["id"] == audio["book_id"], "left_anti").orderBy(F.desc("numdownloads"), "id")
+    return found if limit is None else found.limit(limit)
+
+
 def with_flag(books: DataFrame, other: DataFrame, key: str, flag: str) -> DataFrame:
     """An EXISTS test as a column."""
     return books.join(other.select(key).distinct().withColumn("_f", F.lit(True)), key, "left").withColumn(flag, F.col("_f").isNotNull()).drop("_f")

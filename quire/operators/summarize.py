@@ -39,6 +39,16 @@ def reduce_prompt(title: str, parts: list[str]) -> str:
     return f"Join these summaries of {title} into one.\n\n" + " ".join(parts)
 
 
+def profile_prompt(title: str, author: str, category: str, text: str) -> str:
+    """Fiction asks for characters, lives and histories for people, arguments for claims, guides for uses; fiction and lives get a cast, the rest a narrator."""
+    asked = {"dramatic": "the characters and how each would speak", "biographical": "the people and how each would speak", "analytical": "the claims and the voice that would argue them", "practical": "the uses and the voice that would teach them"}
+    return f"Describe {asked.get(category, asked['dramatic'])} in {title} by {author}.\n\n{text}"
+
+
+def category_prompt(title: str, summary: str) -> str:
+    return f"Name the category of {title}: dramatic, biographical, analytical or practical.\n\n{summary}"
+
+
 def windows(words: list[str], size: int, overlap: int) -> list[list[str]]:
     step = max(1, size - overlap)
     return [words] if len(words) <= size else [words[i : i + size] for i in range(0, len(words), step)]

@@ -301,3 +301,21 @@ def test_shards_do_not_move(spark, shards):
     frame = spark.range(100).withColumn("shard", links.shard_of(F.col("id"), shards))
     part = frame.where("id % 2 = 0")
     assert {r.id: r.shard for r in part.collect()}.items() <= {r.id: r.shard for r in frame.collect()}.items()
+
+
+def test_schemas_and_selectors(spark):
+    from quire import schema
+
+    for name in schema.TABLES:
+        assert schema.empty(spark, name).count() == 0
+    old = spark.createDataFrame([(1, "raw", "x")], "bookid int, raw_content string, extra string")
+    row = schema.evolved(old, "book_contents").first()
+    assert (row.bookid, row.content_type, row.has_images, row.html_content, row.extra) == (1, "text", False, None, "x")
+    books = spark.createDataFrame([(1, 98, 5), (2, 7, 9)], "id bigint, gutenbergbookid bigint, numdownloads bigint")
+    text = spark.createDataFrame([(1, "[eBook #98]"), (2, "[eBook #98]")], "bookid bigint, raw_content string")
+    assert [r.bookid for r in links.with_other_marker(text, books).collect()] == [2]
+    desc = spark.createDataFrame([(1, " "), (2, "good")], "bookid bigint, summary string")
+    assert [r.id for r in links.incomplete_descriptions(books, desc).collect()] == [1]
+    audio = spark.createDataFrame([], "book_id bigint")
+    assert [r.id for r in links.audio_gaps(books, audio).collect()] == [2, 1]
+    assert summarize.profile_prompt("T", "A", "analytical", "x").startswith("Describe the claims") and "dramatic" in summarize.category_prompt("T", "s")
