@@ -156,3 +156,21 @@ def test_conversations(spark):
     assert cf.format_preferences(cf.stale_reply_pairs(cf.conversations_of(frame.limit(0)))).count() == 0
 
 
+
+
+# Written tables
+
+
+def test_written_tables(spark):
+    from quire.llm import common
+
+    frame = spark.range(10).selectExpr("id", "cast(id % 3 as int) as k")
+    table = common.written(frame, "t", partition_by="k")
+    assert sorted(table.columns) == ["id", "k"] and table.count() == 10
+    common.dropped(table)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{common.shared_dir(spark)}/quire")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    common.written(frame, "u")
+    assert fs.exists(path)
+    common.clear(spark)
+    assert not fs.exists(path)
