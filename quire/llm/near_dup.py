@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(pairs.where(odd_bits(F.col("sketch"), F.col("pivot_sketch")) <= most_odd_bits()).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "neardup-pairs")
     # the sets of all nodes that this pass or the next may compare
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.where("nodes > 2").select("node")).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text")
+    # merge joins at every size: a small side that is broadcast would only hide what the texts cost on larger inputs
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["node"]).select("node", "text")
     sets = written(texts.mapInArrow(_sets, "node long, set array<long>"), "neardup-sets")
     links = written(linked(pairs, sets), "neardup-links")
     comps = components(links, "neardup-star")
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = written(labelled.join(open_buckets, "bucket").select("node", "comp", "first").distinct(), "neardup-open")
     clusters = components(rest.select(F.col("node").alias("a"), F.col("first").alias("b")), "neardup-clusters").select("node", F.col("comp").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("in_cluster"))
-    rows = rest.select("node", "comp").distinct().join(clusters, "node").join(sizes, "cluster").join(sketches, "node").join(sets, "node")
+    rows = rest.select("node", "comp").distinct().join(clusters, "node").join(sizes, "cluster").join(sketches, "node").join(sets.hint("merge"), "node")
     blocks = F.ceil(F.col("in_cluster") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -276,7 +277,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(b, "b").join(a, "a").where(both * 100 >= union * PERCENT).select("a", "b").distinct()
+    return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(both * 100 >= union * PERCENT).select("a", "b").distinct()
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
