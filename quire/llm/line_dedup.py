@@ -102,7 +102,8 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_cha
     lines = written(marks.select("_t", "_u", F.explode("_lines").alias("_l")).select("_t", "_u", "_l.*", F.pmod(F.xxhash64("_t"), F.lit(batches)).cast("int").alias("_batch")), "lines-of-texts")
     frequent = written(frequent_lines(lines.select("a", "b", "_batch"), least_docs, batches), "lines-frequent")
     hit = lines.join(frequent, ["a", "b"]).select("_t", "_u", "a", "b").distinct()
-    drop = hit.groupBy(F.col("_t").alias("_dt"), F.col("_u").alias("_du")).agg(F.collect_list(F.struct("a", "b")).alias("_drop"))
+    # written, so that the join below deals both of its sides itself and very common texts can be split
+    drop = written(hit.groupBy(F.col("_t").alias("_dt"), F.col("_u").alias("_du")).agg(F.collect_list(F.struct("a", "b")).alias("_drop")), "lines-of-texts-to-drop")
     whole = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), text.alias("_text"))
     whole = whole.withColumn("_t", F.xxhash64("_text")).withColumn("_u", F.hash("_text"))
     met = whole.join(drop, (F.col("_t") == F.col("_dt")) & (F.col("_u") == F.col("_du")), "left")
