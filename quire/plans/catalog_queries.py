@@ -132,11 +132,20 @@ def text_match(spark, sf):
     return a.join(b, F.col("p_brand") == F.col("b_brand")).select("a", "b", match.text_matches(F.col("x"), F.col("y"), 0.5).alias("fits"))
 
 
+def text_match_whole(spark, sf):
+    """Every title against all that share a word with it, said otherwise; parts of one title are counted, not paired."""
+    x = table(spark, sf, "part").groupBy(F.col("p_name").alias("x")).agg(F.count(F.lit(1)).alias("parts"))
+    y = x.select(F.concat(F.lit("The "), "x", F.lit("!")).alias("y"))
+    word = lambda c: F.explode(T.token_set(T.match_text(F.col(c)))).alias("word")
+    pairs = x.select("x", "parts", word("x")).join(y.select("y", word("y")), "word").select("x", "parts", "y").distinct()
+    return pairs.select("x", "parts", "y", match.text_matches(F.col("x"), F.col("y"), 0.5).alias("fits"), match.text_matches(F.col("x"), F.col("y"), 0.8).alias("fits_well"))
+
+
 def title_cascade(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 400")
+    p = table(spark, sf, "part")
     name = lambda k: F.concat_ws(" ", "p_name", F.concat(F.lit("volume"), (F.col("p_partkey") % k).cast("string")))
     books = p.select(F.col("p_partkey").alias("bookid"), name(37).alias("title"), F.array(F.concat(F.lit("Brand "), F.col("p_type"))).alias("authors"), (F.lit(1800) + F.col("p_size")).alias("year"))
-    asked = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, name(37)).otherwise(F.concat(F.lit("The "), "p_name")).alias("title"), F.concat(F.lit("Brand "), F.col("p_type")).alias("author"), (F.lit(1800) + F.col("p_size")).alias("year"))
+    asked = p.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, name(37)).otherwise(F.concat(F.lit("The "), "p_name")).alias("title"), F.concat(F.lit("Brand "), F.col("p_type")).alias("author"), (F.lit(1800) + F.col("p_size")).alias("year"))
     return match.title_cascade(asked, books)
 
 
@@ -192,7 +201,7 @@ ranked AS (
 linked AS (SELECT k.*, coalesce(r.target, k.bookid) AS t, coalesce(r.place, 1) AS place FROM keyed k LEFT JOIN ranked r USING (bookid))
 """
 
-QUERIES = {f.__name__: f for f in (search_page, browse_page, search_count, subject_filter, subject_counts, subject_valid, author_list, missing_content, has_orders_flag, category, topic_rules, duplicate_groups, canonical_pick, merge_result, work_key_siblings, text_match, title_cascade, passage_contains, id_map_report, rrf_hybrid, banded_search)}
+QUERIES = {f.__name__: f for f in (search_page, browse_page, search_count, subject_filter, subject_counts, subject_valid, author_list, missing_content, has_orders_flag, category, topic_rules, duplicate_groups, canonical_pick, merge_result, work_key_siblings, text_match, text_match_whole, title_cascade, passage_contains, id_map_report, rrf_hybrid, banded_search)}
 
 ORACLE = {
     "search_page": f"{_VIEW} SELECT {_COLUMNS}, {_HIT} AS score FROM v WHERE {_WHERE} ORDER BY score DESC, downloads DESC, id LIMIT 20",
@@ -225,6 +234,10 @@ SELECT c.t AS id, chars, source, is_synthesized FROM c LEFT JOIN d USING (t) LEF
 WITH a AS (SELECT p_partkey AS a, p_name AS x, p_brand FROM part WHERE p_size <= 10), b AS (SELECT p_partkey AS b, 'the ' || p_name AS y, p_brand FROM part WHERE p_size >= 45),
 t AS (SELECT a, b, x, y, list_distinct(list_filter(string_split(x, ' '), lambda w: len(w) > 2)) AS p, list_distinct(list_filter(string_split(y, ' '), lambda w: len(w) > 2)) AS q FROM a JOIN b USING (p_brand))
 SELECT a, b, contains(y, x) OR len(list_intersect(p, q)) / least(len(p), len(q))::DOUBLE >= 0.5 AS fits FROM t""",
+    "text_match_whole": """
+WITH x AS (SELECT p_name AS x, count(*) AS parts FROM part GROUP BY 1),
+t AS (SELECT a.x, parts, b.x AS o, list_distinct(list_filter(string_split(a.x, ' '), lambda w: len(w) > 2)) AS p, list_distinct(list_filter(string_split('the ' || b.x, ' '), lambda w: len(w) > 2)) AS q FROM x a CROSS JOIN (SELECT x FROM x) b)
+SELECT x, parts, 'The ' || o || '!' AS y, contains('the ' || o, x) OR len(list_intersect(p, q)) / least(len(p), len(q))::DOUBLE >= 0.5 AS fits, contains('the ' || o, x) OR len(list_intersect(p, q)) / least(len(p), len(q))::DOUBLE >= 0.8 AS fits_well FROM t WHERE len(list_intersect(p, q)) > 0""",
     "passage_contains": r"""
 WITH stop AS (SELECT ['a','an','the','of','in','on','at','to','for','and','or','by','from','with','as','is','it','its','be','are','was'] AS s),
 w AS (SELECT 0 AS side, item_id AS id, unnest(string_split_regex(lower(trim(text)), '[^\p{L}\p{N}_]+')) AS t, unnest(range(100000)) AS i FROM benchmark UNION ALL

@@ -1,5 +1,9 @@
 """Queries over whole tables: no row of the input stays outside. Their values are compared with SQL in test_queries."""
 
+import random
+from collections import Counter
+
+from quire.operators import match
 from quire.plans import registry
 
 
@@ -23,3 +27,59 @@ def test_children_of_all_orders(spark, sf):
 
 def test_markers_of_all_documents(spark, sf):
     assert registry.QUERIES["marker_mismatch_whole"](spark, sf).count() == rows(spark, sf, "documents").count()
+
+
+def brute_cascade(queries, books):
+    """The stages of title_cascade, query by query and book by book; titles are lower-case words."""
+    stop = {"the", "and"}
+    key = lambda t: " ".join(t.split())
+    words = lambda t: {w for w in key(t).split() if len(w) > 2 and w not in stop}
+    fits = lambda a, names: any(a == n or len(set(a.split()) & set(n.split())) >= 2 for n in names)
+    out = {}
+    for i, title, author, year in queries:
+        same = [b for b in books if key(title) and key(b[1]) == key(title)]
+        by = [b for b in same if author and fits(author, b[2])]
+        both = [b for b in by if year is not None and b[3] == year]
+        stages = [(n, x) for n, x in (("title_author", by), ("title_author_year", both), ("unique_title", same)) if len(x) == 1]
+        if stages:
+            out[i] = (stages[0][1][0][0], stages[0][0], None)
+            continue
+        found = []
+        for k, name, names, issued in books:
+            if words(title) and words(title) <= words(name) and (not author or fits(author, names)):
+                near = 100 if key(title) == key(name) else 75 if key(title) in key(name) else 50 if key(name) in key(title) else 0
+                score = len(words(title)) + near + 20 * (year is not None and year == issued)
+                if score >= 12:
+                    found.append((-score, len(words(name)), len(key(name)), k))
+        if found:
+            out[i] = (min(found)[3], "loose", -min(found)[0])
+    return out
+
+
+def test_title_cascade_by_brute_force(spark):
+    r = random.Random(3)
+    word = lambda: r.choice(["ring", "bolt", "gear", "old", "hot", "the"])
+    title = lambda n: " ".join(word() for _ in range(n))
+    author = lambda: r.choice(["ann lee", "bob ray", "cyd fox"])
+    year = lambda: r.choice([1801, 1802, None])
+    books = [(i, title(r.randint(1, 4)), [author() for _ in range(r.randint(1, 2))], year()) for i in range(150)]
+    books += [(150 + i, *books[i][1:]) for i in range(30)]
+    books += [(200, "lone gear of tin", ["ann lee"], None), (201, "lone bolt of tin", ["bob ray"], 1801), (202, "lone bolt of tin", ["bob ray"], 1802)]
+    queries = [(i, title(r.randint(1, 3)), r.choice([author(), "", None]), year()) for i in range(150)]
+    queries += [(150 + i, *queries[i][1:]) for i in range(30)] + [(200, "lone gear of tin", "x y", 1801), (201, "lone bolt of tin", "bob ray", 1802), (202, "lone gear of tin", "ann lee", None)]
+    asked = spark.createDataFrame(queries, "query_id bigint, title string, author string, year int")
+    known = spark.createDataFrame(books, "bookid bigint, title string, authors array<string>, year int")
+    found = [tuple(x) for x in match.title_cascade(asked, known).select("query_id", "bookid", "stage", "score").collect()]
+    want = brute_cascade(queries, books)
+    assert {x[0]: x[1:] for x in found} == want and len(found) == len(want)
+    assert set(Counter(x[1] for x in want.values())) == {"title_author", "title_author_year", "unique_title", "loose"}
+
+
+def test_title_cascade_asks_for_all_parts(spark, sf):
+    keys = {x.p_partkey for x in rows(spark, sf, "part").select("p_partkey").collect()}
+    assert {x.query_id for x in registry.QUERIES["title_cascade"](spark, sf).collect()} == keys
+
+
+def test_text_match_holds_all_parts(spark, sf):
+    found = {(x.x, x.parts) for x in registry.QUERIES["text_match_whole"](spark, sf).select("x", "parts").distinct().collect()}
+    assert sum(n for _, n in found) == rows(spark, sf, "part").count()
