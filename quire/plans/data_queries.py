@@ -296,8 +296,9 @@ def cosine_topk(spark, sf):
 
 
 def lexical_ratio(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 100")
-    return d.select("doc_id", summarize.lexical_ratio(F.substring("text", 1, 300), F.substring("text", 51, 300)).alias("ratio"))
+    """Each document's whole text against its cleaned form."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", summarize.lexical_ratio(F.col("text"), texts.clean(F.col("text"))).alias("ratio"))
 
 
 def quality_gate(spark, sf):

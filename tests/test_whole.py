@@ -1,9 +1,13 @@
 """Queries over whole tables: no row of the input stays outside. Their values are compared with SQL in test_queries."""
 
+import difflib
 import random
+import re
 from collections import Counter
 
-from quire.operators import match
+from pyspark.sql import functions as F
+
+from quire.operators import match, texts
 from quire.plans import registry
 
 
@@ -83,3 +87,12 @@ def test_title_cascade_asks_for_all_parts(spark, sf):
 def test_text_match_holds_all_parts(spark, sf):
     found = {(x.x, x.parts) for x in registry.QUERIES["text_match_whole"](spark, sf).select("x", "parts").distinct().collect()}
     assert sum(n for _, n in found) == rows(spark, sf, "part").count()
+
+
+def test_lexical_ratio_of_whole_texts(spark, sf):
+    docs = rows(spark, sf, "documents")
+    norm = lambda t: " ".join(re.sub(r"[^a-z0-9]+", " ", (t or "").lower()).split())
+    cleaned = docs.select("doc_id", "text", texts.clean(F.col("text")).alias("c")).collect()
+    want = {x.doc_id: difflib.SequenceMatcher(None, norm(x.text), norm(x.c)).ratio() for x in cleaned}
+    assert {x.doc_id: x.ratio for x in registry.QUERIES["lexical_ratio"](spark, sf).collect()} == want
+    assert len(want) == docs.count()
