@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import text as T
 
 FUSION_K = 60
 TRIGRAM_LEAST = 0.55
+#: Queries and vectors that are multiplied at once.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
 
 def trigrams(text: Column) -> Column:
@@ -45,20 +49,55 @@ def author_score(surname: Column, given: Column, query_surname: Column, query_gi
 def banded(books: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, bookid and score: the best band of each pair (equal title 1000, equal words 900, title inside 800, trigrams 600), plus 50 within a band and the logarithm of downloads.
 
-    Candidates share a title word or the key, so no cross product arises; bands are unioned and the best is kept.
+    Candidates share a title word or the key, so no cross product arises; bands are unioned and the best is kept. Only distinct titles
+    and queries are compared.
     """
-    b = books.select("bookid", "numdownloads", T.search_title(F.col("title")).alias("t"), T.sorted_title_key(F.col("title")).alias("k"))
-    q = queries.select("query_id", T.search_title(F.col("query")).alias("qt"), T.sorted_title_key(F.col("query")).alias("qk"))
-    equal = q.join(b, F.col("qt") == F.col("t")).select("query_id", "bookid", "numdownloads", F.lit(1000.0).alias("band"), F.lit(1.0).alias("within"))
-    words = q.where("qk <> ''").join(b, F.col("qk") == F.col("k")).select("query_id", "bookid", "numdownloads", F.lit(900.0).alias("band"), F.lit(1.0).alias("within"))
-    bw = b.select("bookid", "numdownloads", "t", F.explode(F.array_distinct(F.split("k", " "))).alias("w"))
-    qw = q.select("query_id", "qt", F.explode(F.array_distinct(F.split("qk", " "))).alias("w"))
-    near = qw.where("w <> ''").join(bw, "w").select("query_id", "bookid", "numdownloads", "qt", "t").distinct().withColumn("s", trigram_similarity(F.col("qt"), F.col("t")))
-    inside = near.where(F.contains(F.col("t"), F.col("qt"))).select("query_id", "bookid", "numdownloads", F.lit(800.0).alias("band"), F.col("s").alias("within"))
-    alike = near.where(F.col("s") >= TRIGRAM_LEAST).select("query_id", "bookid", "numdownloads", F.lit(600.0).alias("band"), F.col("s").alias("within"))
+    books = books.select("bookid", "numdownloads", T.search_title(F.col("title")).alias("t"), T.sorted_title_key(F.col("title")).alias("k"))
+    queries = queries.select("query_id", T.search_title(F.col("query")).alias("qt"), T.sorted_title_key(F.col("query")).alias("qk"))
+    b, q = books.select("t", "k").distinct(), queries.select("qt", "qk").distinct()
+    both = ["qt", "qk", "t", "k"]
+    equal = q.join(b, F.col("qt") == F.col("t")).select(*both, F.lit(1000.0).alias("band"), F.lit(1.0).alias("within"))
+    words = q.where("qk <> ''").join(b, F.col("qk") == F.col("k")).select(*both, F.lit(900.0).alias("band"), F.lit(1.0).alias("within"))
+    bw = b.select("t", "k", F.explode(F.array_distinct(F.split("k", " "))).alias("w"))
+    qw = q.select("qt", "qk", F.explode(F.array_distinct(F.split("qk", " "))).alias("w"))
+    near = qw.where("w <> ''").join(bw, "w").select(*both).distinct().withColumn("s", trigram_similarity(F.col("qt"), F.col("t")))
+    inside = near.where(F.contains(F.col("t"), F.col("qt"))).select(*both, F.lit(800.0).alias("band"), F.col("s").alias("within"))
+    alike = near.where(F.col("s") >= TRIGRAM_LEAST).select(*both, F.lit(600.0).alias("band"), F.col("s").alias("within"))
     every = equal.unionByName(words).unionByName(inside).unionByName(alike)
-    score = F.col("band") + F.col("within") * 50 + F.log(F.greatest(F.col("numdownloads"), F.lit(1)).cast("double")) * 10
-    return every.groupBy("query_id", "bookid").agg(F.max(score).alias("score"))
+    best = every.groupBy(*both).agg(F.max(F.col("band") + F.col("within") * 50).alias("score"))
+    downloads = F.log(F.greatest(F.col("numdownloads"), F.lit(1)).cast("double")) * 10
+    return best.join(queries, ["qt", "qk"]).join(books, ["t", "k"]).select("query_id", "bookid", (F.col("score") + downloads).alias("score"))
+
+
+def cosine_neighbours(queries: DataFrame, vectors: DataFrame, keep: int = 10, digits: int = 5) -> DataFrame:
+    """q, vec_id, score and rank: the ``keep`` nearest of ``vectors`` (vec_id, embedding) for each of ``queries`` (q, qe) but itself.
+
+    Both are dealt into blocks; each pair of blocks is one product and gives the best of each of its queries, so only
+    these reach the ranking. Scores are rounded first; equal ones are in order of vec_id.
+    """
+    parts = lambda d, size: max(1, -(-d.count() // size))
+    nq, nv = parts(queries, QUERY_BLOCK), parts(vectors, VECTOR_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    a = queries.select(own("q", nq).alias("i"), every(nv).alias("j"), F.col("q").alias("id"), F.col("qe").alias("e"))
+    b = vectors.select(every(nq).alias("i"), own("vec_id", nv).alias("j"), F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+
+    def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            unit = lambda e: (lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True)))(np.stack(e.to_list()).astype(np.float64))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                x, y = unit(left["e"]), unit(right["e"])
+            ids = right["id"].to_numpy()
+            for q, row in zip(left["id"].to_numpy(), x, strict=True):
+                score = np.round(y @ row, digits)
+                order = np.lexsort((ids, np.where(np.isnan(score), np.inf, -score)))[: keep + 1]
+                out += [(q, ids[k], score[k]) for k in order if ids[k] != q][:keep]
+        return pd.DataFrame(out, columns=["q", "vec_id", "score"])
+
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(best, "q bigint, vec_id bigint, score double")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= keep)
 
 
 def chapters_to_books(chapter_scores: DataFrame, bonus: float = 0.01) -> DataFrame:

@@ -171,6 +171,7 @@ def rrf_hybrid(spark, sf):
 def banded_search(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("bookid"), F.col("p_name").alias("title"), F.col("p_size").alias("numdownloads"))
     q = spark.createDataFrame([(1, "The small ring"), (2, "ring, small"), (3, "blue"), (4, "red widgets")], "query_id bigint, query string")
+    q = q.unionByName(table(spark, sf, "part").where("p_partkey % 20 = 0").select((F.col("p_partkey") + 100).alias("query_id"), F.col("p_name").alias("query")))
     return hybrid.banded(p, q).select("query_id", "bookid", F.round("score", 6).alias("score"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import links, state, summarize, texts
+from ..operators import hybrid, links, state, summarize, texts
 from ..session import table
 
 _FILES = ("-h.zip", ".html.images", ".epub3.images", ".epub.images", ".txt", ".mp3", "-mp3.zip", ".ogg")
@@ -295,6 +295,11 @@ def cosine_topk(spark, sf):
     return found.where("rank <= 10")
 
 
+def cosine_topk_whole(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return hybrid.cosine_neighbours(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")), e)
+
+
 def lexical_ratio(spark, sf):
     """Each document's whole text against its cleaned form."""
     d = table(spark, sf, "documents")
@@ -326,7 +331,7 @@ _B = "WITH b AS (SELECT c_custkey AS bookid, c_name AS clean_content, c_mktsegme
 _H = "WITH h AS (SELECT event_id AS id, user_id, event_id % 37 AS book_id, CASE WHEN event_type = 'view' THEN 'text' ELSE 'audio' END AS media_type, props, date_trunc('hour', ts) AS upd FROM events), l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY user_id, book_id ORDER BY upd DESC, id DESC) = 1)"
 _STOP = "['a','an','the','of','in','on','at','to','for','and','or','by','from','with','as','is','it','its','be','are','was']"
 
-QUERIES = {f.__name__: f for f in (best_source, ranked_candidates, link_repair_choice, audio_item, action_plan, file_plan, url_facts, shard_assignment, history_recent, history_last, resume_label, genre_json, queue_seed, queue_status, queue_pending, queue_transition, queue_seed_whole, queue_status_whole, queue_pending_whole, queue_transition_whole, upsert_replace, upsert_update, insert_ignore, replace_children, replace_children_whole, cascade_delete, strip_markup, page_links, image_refs, html_text, reading_model, char_chunks, token_windows, turn_blocks, chapter_split, distinct_chapters, short_chapters, clean_text, reclean_changed, stub_filter, markup_flag, marker_mismatch, marker_mismatch_whole, search_tokens, desc_accept, cosine_topk, lexical_ratio, quality_gate, story_so_far, summarize_fold)}
+QUERIES = {f.__name__: f for f in (best_source, ranked_candidates, link_repair_choice, audio_item, action_plan, file_plan, url_facts, shard_assignment, history_recent, history_last, resume_label, genre_json, queue_seed, queue_status, queue_pending, queue_transition, queue_seed_whole, queue_status_whole, queue_pending_whole, queue_transition_whole, upsert_replace, upsert_update, insert_ignore, replace_children, replace_children_whole, cascade_delete, strip_markup, page_links, image_refs, html_text, reading_model, char_chunks, token_windows, turn_blocks, chapter_split, distinct_chapters, short_chapters, clean_text, reclean_changed, stub_filter, markup_flag, marker_mismatch, marker_mismatch_whole, search_tokens, desc_accept, cosine_topk, cosine_topk_whole, lexical_ratio, quality_gate, story_so_far, summarize_fold)}
 
 ORACLE = {
     "best_source": _LINKS + "SELECT bookid, url, ['h-zip', 'html.images', 'epub3.images', 'epub.images'][r + 1] AS source_type FROM t WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bookid ORDER BY r, CASE WHEN contains(url, '/cache/epub/') THEN 0 WHEN contains(url, '/files/') THEN 1 WHEN contains(url, '/ebooks/') THEN 2 ELSE 3 END, length(url), url) = 1",
@@ -386,6 +391,7 @@ f AS (SELECT id, w, list_filter(w, lambda t: NOT list_contains({_STOP}, t)) AS u
 SELECT w.id::BIGINT AS id, coalesce(array_to_string(CASE WHEN len(u) > 0 THEN u ELSE f.w END, ' '), '') AS tokens FROM w LEFT JOIN f USING (id)""",
     "desc_accept": "SELECT p_partkey AS id, p_partkey % 3 = 0 AND p_type = 'ECONOMY' AS accepted FROM part",
     "cosine_topk": "SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 5 QUALIFY rank <= 10",
+    "cosine_topk_whole": "SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10",
     "quality_gate": "SELECT doc_id, CASE WHEN quality <> 0 AND toxic IS NOT NULL THEN (doc_id % 100) / 100.0::DOUBLE >= 0.6 AND ((n_chars % 100) / 100.0::DOUBLE >= 0.35 OR (doc_id % 7) / 7.0::DOUBLE < 0.5) END AS passed FROM documents JOIN labels USING (doc_id)",
     "story_so_far": r"SELECT conv_id, turn, array_to_string(list(regexp_extract(text, '^[^.\n]*')) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), ' / ') AS story FROM conversations",
 }

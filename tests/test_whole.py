@@ -1,13 +1,14 @@
 """Queries over whole tables: no row of the input stays outside. Their values are compared with SQL in test_queries."""
 
 import difflib
+import math
 import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quire.operators import match, texts
+from quire.operators import hybrid, match, texts
 from quire.plans import registry
 
 
@@ -96,3 +97,34 @@ def test_lexical_ratio_of_whole_texts(spark, sf):
     want = {x.doc_id: difflib.SequenceMatcher(None, norm(x.text), norm(x.c)).ratio() for x in cleaned}
     assert {x.doc_id: x.ratio for x in registry.QUERIES["lexical_ratio"](spark, sf).collect()} == want
     assert len(want) == docs.count()
+
+
+def test_cosine_searches_for_every_twentieth(spark, sf, monkeypatch):
+    keys = {x.vec_id for x in rows(spark, sf, "embeddings").select("vec_id").collect()}
+    run = lambda: {(x.q, x.rank): (x.vec_id, x.score) for x in registry.QUERIES["cosine_topk_whole"](spark, sf).collect()}
+    whole = run()
+    assert {q for q, _ in whole} == {k for k in keys if k % 20 == 0} and len(whole) == 10 * len({q for q, _ in whole})
+    monkeypatch.setattr(hybrid, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(hybrid, "VECTOR_BLOCK", 60)
+    assert run() == whole
+
+
+def test_banded_search_by_brute_force(spark, sf):
+    def grams(t):
+        padded = f"  {t} "
+        return {padded[i : i + 3] for i in range(len(padded) - 2)}
+
+    parts = [(x.p_partkey, x.p_name, x.p_size) for x in rows(spark, sf, "part").collect()]
+    queries = [(1, "small ring"), (2, "ring small"), (3, "blue"), (4, "red widgets")] + [(k + 100, n) for k, n, _ in parts if k % 20 == 0]
+    want = {}
+    for q, text in queries:
+        for k, name, size in parts:
+            a, b = set(text.split()), set(name.split())
+            alike = len(grams(text) & grams(name)) / len(grams(text) | grams(name))
+            bands = [1050.0] * (text == name) + [950.0] * (sorted(text.split()) == sorted(name.split()))
+            if a & b:
+                bands += [800 + 50 * alike] * (text in name) + [600 + 50 * alike] * (alike >= 0.55)
+            if bands:
+                want[q, k] = round(max(bands) + 10 * math.log(max(size, 1)), 6)
+    found = registry.QUERIES["banded_search"](spark, sf).collect()
+    assert {(x.query_id, x.bookid): x.score for x in found} == want and len(found) == len(want)
