@@ -155,6 +155,13 @@ def passage_contains(spark, sf):
     return match.contains_all(q, d)
 
 
+def passage_contains_whole(spark, sf):
+    """Documents that hold every token of a passage, not only its first ones."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.search_tokens(F.col("text")).alias("words"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("candidate_id"), T.search_tokens(F.col("text")).alias("words"))
+    return match.contains_all(q, d)
+
+
 def id_map_report(spark, sf):
     ids = table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("gutenbergbookid"))
     books = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") - F.col("c_custkey") % 4).alias("gutenbergbookid"))
@@ -202,7 +209,7 @@ ranked AS (
 linked AS (SELECT k.*, coalesce(r.target, k.bookid) AS t, coalesce(r.place, 1) AS place FROM keyed k LEFT JOIN ranked r USING (bookid))
 """
 
-QUERIES = {f.__name__: f for f in (search_page, browse_page, search_count, subject_filter, subject_counts, subject_valid, author_list, missing_content, has_orders_flag, category, topic_rules, duplicate_groups, canonical_pick, merge_result, work_key_siblings, text_match, text_match_whole, title_cascade, passage_contains, id_map_report, rrf_hybrid, banded_search)}
+QUERIES = {f.__name__: f for f in (search_page, browse_page, search_count, subject_filter, subject_counts, subject_valid, author_list, missing_content, has_orders_flag, category, topic_rules, duplicate_groups, canonical_pick, merge_result, work_key_siblings, text_match, text_match_whole, title_cascade, passage_contains, passage_contains_whole, id_map_report, rrf_hybrid, banded_search)}
 
 ORACLE = {
     "search_page": f"{_VIEW} SELECT {_COLUMNS}, {_HIT} AS score FROM v WHERE {_WHERE} ORDER BY score DESC, downloads DESC, id LIMIT 20",
@@ -245,6 +252,13 @@ w AS (SELECT 0 AS side, item_id AS id, unnest(string_split_regex(lower(trim(text
       SELECT 1, doc_id, unnest(string_split_regex(lower(trim(text)), '[^\p{L}\p{N}_]+')), unnest(range(100000)) FROM documents),
 k AS (SELECT side, id, t, min(i) AS i FROM w, stop WHERE t IS NOT NULL AND len(t) >= 2 AND NOT list_contains(s, t) GROUP BY 1, 2, 3),
 q AS (SELECT id, t, count(*) OVER (PARTITION BY id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM k WHERE side = 0) WHERE r <= 12)
+SELECT q.id AS query_id, d.id AS candidate_id FROM q JOIN k d ON d.side = 1 AND d.t = q.t GROUP BY q.id, d.id, n HAVING count(*) = n""",
+    "passage_contains_whole": r"""
+WITH stop AS (SELECT ['a','an','the','of','in','on','at','to','for','and','or','by','from','with','as','is','it','its','be','are','was'] AS s),
+w AS (SELECT 0 AS side, item_id AS id, unnest(string_split_regex(lower(trim(text)), '[^\p{L}\p{N}_]+')) AS t, unnest(range(100000)) AS i FROM benchmark UNION ALL
+      SELECT 1, doc_id, unnest(string_split_regex(lower(trim(text)), '[^\p{L}\p{N}_]+')), unnest(range(100000)) FROM documents),
+k AS (SELECT side, id, t, min(i) AS i FROM w, stop WHERE t IS NOT NULL AND len(t) >= 2 AND NOT list_contains(s, t) GROUP BY 1, 2, 3),
+q AS (SELECT id, t, count(*) OVER (PARTITION BY id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM k WHERE side = 0))
 SELECT q.id AS query_id, d.id AS candidate_id FROM q JOIN k d ON d.side = 1 AND d.t = q.t GROUP BY q.id, d.id, n HAVING count(*) = n""",
     "id_map_report": """
 WITH i AS (SELECT DISTINCT o_custkey * 2 AS g FROM orders), b AS (SELECT c_custkey AS id, c_custkey - c_custkey % 4 AS g FROM customer)

@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from quire.functions.text import SEARCH_STOP_WORDS
 from quire.operators import hybrid, match, texts
 from quire.plans import registry
 
@@ -128,3 +129,10 @@ def test_banded_search_by_brute_force(spark, sf):
                 want[q, k] = round(max(bands) + 10 * math.log(max(size, 1)), 6)
     found = registry.QUERIES["banded_search"](spark, sf).collect()
     assert {(x.query_id, x.bookid): x.score for x in found} == want and len(found) == len(want)
+
+
+def test_passages_with_all_their_tokens(spark, sf):
+    words = lambda t: {w for w in re.split(r"[^\w]+", t.lower()) if len(w) >= 2} - set(SEARCH_STOP_WORDS)
+    docs = {x.doc_id: words(x.text) for x in rows(spark, sf, "documents").collect()}
+    want = {(x.item_id, d) for x in rows(spark, sf, "benchmark").collect() for d, w in docs.items() if words(x.text) <= w}
+    assert {tuple(x) for x in registry.QUERIES["passage_contains_whole"](spark, sf).collect()} == want
