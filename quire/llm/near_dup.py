@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUES, POWER, POWER_INVERSE, SPACES, mixed, powers, written
 
 WORDS = 5
-#: A link: 100 * |A & B| >= PERCENT * |A | B|.
+#: A link: 100 * |A & B| >= percent * |A | B|; PERCENT unless a caller gives another.
 PERCENT = 85
-#: At similarity 0.85 all 25 bands of 5 rows miss with probability 5e-7.
-ROWS, BANDS = 5, 25
 SAMPLES = 128
+#: All bands together may miss a pair at the limit with this probability.
+MISS = 1e-6
 SKETCH_BITS = 1024
 #: Standard errors of the estimate that a candidate may lie below the limit.
 MARGIN = 5.0
@@ -91,19 +91,27 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (n, BANDS) and odd sketches (n, words of 64 bits) of non-empty sets."""
+def banding(percent: int) -> tuple[int, int]:
+    """Rows and bands of the samples: the most rows with which all bands miss a pair at the limit no oftener than MISS (5 and 25 at 85, 4 and 32 at 80)."""
+    fit = [r for r in range(1, SAMPLES + 1) if (1 - (percent / 100) ** r) ** (SAMPLES // r) <= MISS]
+    rows = max(fit, default=1)
+    return rows, SAMPLES // rows
+
+
+def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (n, bands) and odd sketches (n, words of 64 bits) of non-empty sets."""
     lengths = np.array([len(s) for s in sets])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     every = np.concatenate(sets)
     samples = np.empty((SAMPLES, len(sets)), dtype=np.uint64)
     for i, seed in enumerate(_SEEDS):
         samples[i] = np.minimum.reduceat(every * seed, starts)
-    bands = np.empty((BANDS, len(sets)), dtype=np.uint64)
-    for b in range(BANDS):
+    rows, count = banding(percent)
+    bands = np.empty((count, len(sets)), dtype=np.uint64)
+    for b in range(count):
         value = np.full(len(sets), b + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            value = mixed(value + samples[b * ROWS + r])
+        for r in range(rows):
+            value = mixed(value + samples[b * rows + r])
         bands[b] = value
     bits = mixed(samples + _SEEDS[:, None]) % np.uint64(SKETCH_BITS)
     parity = np.zeros((len(sets), SKETCH_BITS), dtype=np.uint8)
@@ -113,9 +121,9 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return bands.T, sketches
 
 
-def most_odd_bits() -> int:
+def most_odd_bits(percent: int = PERCENT) -> int:
     """The largest XOR population count of sketches that a link can have, MARGIN standard errors included."""
-    limit = PERCENT / 100
+    limit = percent / 100
     low = max(0.0, limit - MARGIN * (limit * (1 - limit) / SAMPLES) ** 0.5)
     differing = 2 * SAMPLES * (1 - low)
     return int(SKETCH_BITS * (1 - np.exp(-2 * differing / SKETCH_BITS)) / 2 + MARGIN * (SKETCH_BITS / 4) ** 0.5 / 2)
@@ -136,14 +144,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, l
         yield at, group
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
         for at, texts in texts_of(batch):
             sets = shingle_sets(texts)
             full = [i for i, s in enumerate(sets) if len(s)]
-            bands, sketches = signatures([sets[i] for i in full]) if full else (np.zeros((0, BANDS)), np.zeros((0, 1)))
+            bands, sketches = signatures([sets[i] for i in full], percent) if full else (np.zeros((0, 1)), np.zeros((0, 1)))
             place = dict(zip(full, range(len(full)), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -170,7 +178,7 @@ def odd_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _cross_links(table: pa.Table) -> pa.Table:
+def _cross_links(table: pa.Table, percent: int) -> pa.Table:
     """Links between components that two blocks of one cluster hold: at most one for each two components that it joins.
 
     Sketches go first, full sets confirm, and pairs whose components are joined already are passed over.
@@ -184,16 +192,16 @@ def _cross_links(table: pa.Table) -> pa.Table:
     size = np.diff(bounds)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     right = right if len(right) else left  # a block against itself
-    most, out = most_odd_bits(), []
+    most, out = most_odd_bits(percent), []
     for i in left:
         odd = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1)
         alike = (odd <= most) & (label[right] != label[i])
-        alike &= 100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i])
+        alike &= 100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i])
         own = values[bounds[i] : bounds[i + 1]]
         for j in right[alike][np.argsort(odd[alike], kind="stable")]:
             if label[j] != label[i]:
                 both = len(np.intersect1d(own, values[bounds[j] : bounds[j + 1]], assume_unique=True))
-                if 100 * both >= PERCENT * (size[i] + size[j] - both):
+                if 100 * both >= percent * (size[i] + size[j] - both):
                     out.append((min(node[i], node[j]), max(node[i], node[j])))
                     label[label == label[j]] = label[i]
     found = np.array(out, dtype=np.int64).reshape(-1, 2)
@@ -225,15 +233,15 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text), linked from ``percent`` of similarity on.
 
     Documents without words (null, empty or only white space) have no shingles and are linked with nothing; so are
     rows whose doc_id is null: their component_id is null and they are kept. Rows that repeat a doc_id are one
     document. Ties cannot arise: the smallest doc_id is kept. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signed = written(docs.mapInArrow(_sign, "doc_id long, n long, key binary, bands array<long>, sketch array<long>"), "neardup-signatures")
+    signed = written(docs.mapInArrow(lambda batches: _sign(batches, percent), "doc_id long, n long, key binary, bands array<long>, sketch array<long>"), "neardup-signatures")
     first = F.min(F.struct("doc_id", "sketch", "bands"))
     nodes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(first.alias("f")).select("key", F.col("f.doc_id").alias("node"), "f.sketch", "f.bands")
     nodes = written(nodes, "neardup-nodes")
@@ -243,13 +251,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = nodes.select("node", "sketch")
     of_pivot = sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
     pairs = members.where("node <> pivot").select("pivot", "node").distinct().join(sketches, "node").join(of_pivot, "pivot")
-    pairs = written(pairs.where(odd_bits(F.col("sketch"), F.col("pivot_sketch")) <= most_odd_bits()).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "neardup-pairs")
+    pairs = written(pairs.where(odd_bits(F.col("sketch"), F.col("pivot_sketch")) <= most_odd_bits(percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "neardup-pairs")
     # the sets of all nodes that this pass or the next may compare
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.where("nodes > 2").select("node")).distinct()
     # merge joins at every size: a small side that is broadcast would only hide what the texts cost on larger inputs
     texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["node"]).select("node", "text")
     sets = written(texts.mapInArrow(_sets, "node long, set array<long>"), "neardup-sets")
-    links = written(linked(pairs, sets), "neardup-links")
+    links = written(linked(pairs, sets, percent), "neardup-links")
     comps = components(links, "neardup-star")
     # buckets that still span components; those that share a node are one cluster, so a node is in one only
     labelled = members.where("nodes > 2").join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
@@ -262,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sketch", "set")
-    more = written(dealt.groupBy("cluster", "i", "j").applyInArrow(_cross_links, "a long, b long"), "neardup-more")
+    more = written(dealt.groupBy("cluster", "i", "j").applyInArrow(lambda rows: _cross_links(rows, percent), "a long, b long"), "neardup-more")
     if not more.isEmpty():
         comps = components(links.unionByName(more), "neardup-star2")
     of_key = nodes.select("key", "node").join(comps, "node", "left").select(F.col("key").alias("_key"), F.coalesce("comp", "node").alias("comp"))
@@ -271,18 +279,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets reach the limit."""
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(both * 100 >= union * PERCENT).select("a", "b").distinct()
+    return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(both * 100 >= union * percent).select("a", "b").distinct()
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component; rows whose doc_id is null stay."""
-    marks = near_duplicates(docs).select(F.col("doc_id").alias("_d"), "kept").where("kept and _d is not null").select("_d").distinct()
+    marks = near_duplicates(docs, percent).select(F.col("doc_id").alias("_d"), "kept").where("kept and _d is not null").select("_d").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(marks, F.col("doc_id") == F.col("_d"), "left_semi"))
 
 
