@@ -14,6 +14,7 @@ block gives at most one link for each component that it joins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,24 +22,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, POWER, POWER_INVERSE, SPACES, mixed, powers, written
+from .common import BYTE_VALUES, POWER, POWER_INVERSE, SPACES, dropped, mixed, powers, small_batches, written
 
 WORDS = 5
-#: A link: 100 * |A & B| >= percent * |A | B|; PERCENT unless a caller gives another.
-PERCENT = 85
+#: A link: 100 * |A & B| >= percent * |A | B|; PERCENT unless a caller gives another, OP_PERCENT in op2_near_dedup.
+PERCENT, OP_PERCENT = 85, 85
 SAMPLES = 128
 #: All bands together may miss a pair at the limit with this probability.
 MISS = 1e-6
 SKETCH_BITS = 1024
 #: Standard errors of the estimate that a candidate may lie below the limit.
 MARGIN = 5.0
-#: Nodes of a cluster that are compared with as many others at once.
-BLOCK = 2048
-#: Bytes of text that are hashed together.
-CHUNK = 4 << 20
+#: Nodes of a cluster that are compared with as many others at once, and shingles that they have on average at most.
+BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
+#: Bytes of text that are hashed together; a longer text goes in stretches that end at white space.
+CHUNK = 256 << 10
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
+_SPACE = re.compile(b"[%s]" % SPACES)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * POWER) | np.uint64(1)
@@ -64,10 +66,32 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
+def stretches(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about CHUNK bytes that end before white space, so no word is cut; a longer word stays whole."""
+    at = 0
+    while len(text) - at > CHUNK:
+        space = _IS_SPACE[np.frombuffer(text, np.uint8, CHUNK, at)]
+        cut = CHUNK - 1 - int(np.argmax(space[::-1]))
+        if not space[cut]:
+            found = _SPACE.search(text, at + CHUNK)
+            cut = (found.start() if found else len(text)) - at
+        if cut:
+            yield text[at : at + cut]
+        at += cut + 1
+    yield text[at:]
+
+
+def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts and how many each has."""
+    if sum(map(len, texts)) <= 2 * CHUNK:
+        return word_hashes(np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8), np.cumsum([len(t) + 1 for t in texts]))
+    found = [[word_hashes(np.frombuffer(s + b" ", np.uint8), np.array([len(s) + 1]))[0] for s in stretches(t)] for t in texts]
+    return np.concatenate([h for parts in found for h in parts]), np.array([sum(map(len, parts)) for parts in found])
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text: of five words, or of all words where there are fewer."""
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    words, counts = word_hashes(np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8), ends)
+    words, counts = _words_of(texts)
     n = len(words)
     out = []
     if n >= WORDS:
@@ -129,15 +153,15 @@ def most_odd_bits(percent: int = PERCENT) -> int:
     return int(SKETCH_BITS * (1 - np.exp(-2 * differing / SKETCH_BITS)) / 2 + MARGIN * (SKETCH_BITS / 4) ** 0.5 / 2)
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of a batch as bytes (null: empty), in groups of about CHUNK bytes with the first row's number."""
+def texts_of(batch: pa.RecordBatch, name: str = "text", chunk: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch as bytes (null: empty), in groups of about ``chunk`` bytes with the first row's number."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
     at, group, total = 0, [], 0
     for i, value in enumerate(column):
         raw = value.as_py() or b""
         group.append(raw)
         total += len(raw)
-        if total >= CHUNK:
+        if total >= chunk:
             yield at, group
             at, group, total = i + 1, [], 0
     if group:
@@ -225,7 +249,8 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         small_least = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(small_least, "b")
         small = joined.select(F.col("m").alias("x"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("y"))
-        edges = written(small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
+        old, edges = edges, written(small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
+        dropped(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -238,12 +263,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Documents without words (null, empty or only white space) have no shingles and are linked with nothing; so are
     rows whose doc_id is null: their component_id is null and they are kept. Rows that repeat a doc_id are one
-    document. Ties cannot arise: the smallest doc_id is kept. An empty table gives no rows.
+    document: what any of its texts is linked with, all are. Ties cannot arise: the smallest doc_id is kept. Very long
+    texts are hashed in stretches. Other columns of the input play no part. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     signed = written(docs.mapInArrow(lambda batches: _sign(batches, percent), "doc_id long, n long, key binary, bands array<long>, sketch array<long>"), "neardup-signatures")
-    first = F.min(F.struct("doc_id", "sketch", "bands"))
-    nodes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(first.alias("f")).select("key", F.col("f.doc_id").alias("node"), "f.sketch", "f.bands")
+    first = F.min(F.struct("doc_id", "n", "sketch", "bands"))
+    nodes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(first.alias("f")).select("key", F.col("f.doc_id").alias("node"), "f.n", "f.sketch", "f.bands")
     nodes = written(nodes, "neardup-nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = written(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "neardup-buckets")
@@ -264,11 +291,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_buckets = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first")).where("lo <> hi")
     rest = written(labelled.join(open_buckets, "bucket").select("node", "comp", "first").distinct(), "neardup-open")
     clusters = components(rest.select(F.col("node").alias("a"), F.col("first").alias("b")), "neardup-clusters").select("node", F.col("comp").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("in_cluster"))
+    weighed = clusters.join(nodes.select("node", "n"), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = weighed.groupBy("cluster").agg(blocks.alias("blocks"))
     rows = rest.select("node", "comp").distinct().join(clusters, "node").join(sizes, "cluster").join(sketches, "node").join(sets.hint("merge"), "node")
-    blocks = F.ceil(F.col("in_cluster") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sketch", "set")
     more = written(dealt.groupBy("cluster", "i", "j").applyInArrow(lambda rows: _cross_links(rows, percent), "a long, b long"), "neardup-more")
     if not more.isEmpty():
@@ -289,13 +317,19 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component; rows whose doc_id is null stay."""
-    marks = near_duplicates(docs, percent).select(F.col("doc_id").alias("_d"), "kept").where("kept and _d is not null").select("_d").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(marks, F.col("doc_id") == F.col("_d"), "left_semi"))
+    """``docs`` with one document of each component.
+
+    All columns stay, whatever their names. Rows whose doc_id is null stay, as do documents without words; rows that
+    repeat a kept doc_id stay all; null, empty and very long texts and empty tables are as in :func:`near_duplicates`.
+    """
+    marks = near_duplicates(docs.select("doc_id", "text"), percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = rows.join(marks, F.col("row")["doc_id"].cast("long") == F.col("kept_id"), "left_semi")
+    return rows.where(F.col("row")["doc_id"].isNull()).unionByName(kept).select("row.*")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), OP_PERCENT)
 
 
 SQL = r"""
