@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bytes of a payload are padded to a positive multiple of this.
 PAD = 64
 RATE, TARGET = 16_000, 12_000
@@ -196,6 +198,7 @@ def _hear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (a wave file of the padded text) for each row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_store, MEDIA)
 
 
@@ -205,6 +208,7 @@ def audio_features(media: DataFrame) -> DataFrame:
     Null and empty texts are a payload of 64 zero bytes; every medium has at least one frame; equal texts give equal
     values, as each row is computed on its own in the same steps; an empty table gives no rows.
     """
+    small_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_hear, AUDIO)
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_VALUES, POWER, POWER_INVERSE, mixed, powers
+from .common import BYTE_VALUES, POWER, POWER_INVERSE, mixed, powers, small_batches
 
 #: The file of the vocabulary; a parameter of the operators.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -33,7 +33,8 @@ ZIPF_SHIFT = 2.7
 LOCKSTEP = 48
 #: Free states that are tried for a set of children before it goes above all used ones.
 TRIES = 32
-CHUNK = 4 << 20
+#: Bytes of text that are encoded together: enough for words to repeat.
+CHUNK = 1 << 20
 
 
 @dataclasses.dataclass
@@ -304,6 +305,7 @@ def encode_texts(docs: DataFrame, path: str = MODEL, text: str = "text", key: st
     included, as that is spelled in bytes. Null and empty texts have no pieces. The vocabulary is read on the driver and
     sent to executors: it is bounded by the number of its pieces. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +313,7 @@ def encode_texts(docs: DataFrame, path: str = MODEL, text: str = "text", key: st
 
         p = pieces.value
         for batch in batches:
-            for at, texts in texts_of(batch, "text"):
+            for at, texts in texts_of(batch, "text", CHUNK):
                 ids, ends = encode(p, texts)
                 counts = np.diff(ends, prepend=0)
                 byte_sums = np.concatenate(([0], np.cumsum(p.is_byte[ids])))
@@ -334,6 +336,7 @@ def encode_texts(docs: DataFrame, path: str = MODEL, text: str = "text", key: st
 
 def decode_pieces(rows: DataFrame, path: str = MODEL, pieces: str = "pieces", key: str = "doc_id") -> DataFrame:
     """key and text of each row of piece ids; null gives null. Bytes that are no UTF-8 are replaced."""
+    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

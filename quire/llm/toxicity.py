@@ -18,9 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: The bound of the training sample: so many labelled texts of each class, by order of a hash.
-TRAIN_OF_CLASS = 3000
+from .common import small_batches
+
+#: The bounds of the training sample: so many labelled texts of each class, by order of a hash, and the bytes of each of them
+#: (longer texts are scored like all others, but don't train).
+TRAIN_OF_CLASS, TRAIN_BYTES = 3000, 32 << 10
 LANDMARKS = 192
 ROUNDS = 3
 #: Words of clean texts that are instances of training, besides the hardest ones that each round adds.
@@ -30,7 +34,8 @@ COST = 10.0
 THRESHOLD = 0.3
 #: Remainder of crc32(doc_id) modulo 4 of the rows that training never sees.
 HELD_OUT = 2
-CHUNK = 1 << 20
+#: Bytes that are scored together; a longer text is read in stretches that overlap by so many bytes.
+CHUNK, OVERLAP = 256 << 10, 256
 
 SPACE, OTHER, SYMBOLS = 0, 31, 32
 #: The second and third symbol of a subsequence, counted from the first.
@@ -173,6 +178,21 @@ def calibrated(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return float(w[0]), float(w[1])
 
 
+def overlapping(text: bytes) -> Iterator[bytes]:
+    """Stretches of CHUNK bytes of a long text that start and end between words, OVERLAP or more bytes of each in the one before."""
+    at = 0
+    while True:
+        to = at + CHUNK
+        if to >= len(text):
+            yield text[at:]
+            return
+        last = text.rfind(b" ", at + 2 * OVERLAP, to)
+        to = last if last > 0 else to
+        yield text[at:to]
+        back = text.rfind(b" ", at + OVERLAP, to - OVERLAP)
+        at = back if back > 0 else to - OVERLAP
+
+
 class Machine:
     """The trained machine: a weight for each subsequence, an intercept, and a calibration."""
 
@@ -181,6 +201,20 @@ class Machine:
 
     def values(self, texts: list[bytes]) -> np.ndarray:
         """The largest value of a word of each text; without words -1."""
+        out, at = [np.zeros(0)], 0
+        while at < len(texts):
+            to, total = at, 0
+            while to < len(texts) and (to == at or total + len(texts[to]) <= CHUNK):
+                total += len(texts[to])
+                to += 1
+            if total <= CHUNK:
+                out.append(self._values(texts[at:to]))
+            else:  # one long text
+                out.append(np.array([max(float(self._values([s])[0]) for s in overlapping(texts[at]))]))
+            at = to
+        return np.concatenate(out)
+
+    def _values(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), -1.0)
         data, starts, of = words_of(texts)
         if len(starts):
@@ -271,52 +305,58 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, of_class: int = TRAIN_OF_CLASS) -> Machine:
     """Trains on at most ``of_class`` labelled texts of each class, none of them held out.
 
-    Rows with a null label or id are left out, a text with two labels is toxic, and without texts of both classes the
-    machine gives every text the share of toxic labels. The sample has a bound, so it may go to every task and the driver.
+    Rows with a null label or id are left out, a text with two labels is toxic, of the texts with one id the least is
+    taken, and without texts of both classes the machine gives every text the share of toxic labels. The sample has a
+    bound (TRAIN_OF_CLASS texts of a class, TRAIN_BYTES of each), so it may go to every task and the driver.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     share = known.agg(F.avg(F.col("_toxic").cast("double"))).first()[0] or 0.0
     order = F.xxhash64("_id")
     sample = known.where("_toxic = 1").orderBy(order, "_id").limit(of_class).unionByName(known.where("_toxic = 0").orderBy(order, "_id").limit(of_class))
-    rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_text", "_toxic").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= TRAIN_BYTES)
+    # a repeated id gives one row, however many there are
+    rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic")).collect()
+    rows.sort(key=lambda r: r[0])
     return train([(r[1] or "").encode() for r in rows], np.array([r[2] for r in rows]), share)
 
 
-def score_texts(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns ``carry`` and a score from 0 to 1 for each row of ``docs``; the score's name wins over a column of ``docs``.
-
-    Null and empty texts get the score of a text without words, the lowest.
-    """
+def _scored(docs: DataFrame, machine: Machine, carry: list[str]) -> DataFrame:
+    """(row, score): the columns ``carry`` of ``docs`` as one struct that holds the text, so that a text travels once."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = [c for c in carry if c != name]
-    source = docs.select(*names, docs["text"].alias("_text"))
+    place = carry.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .near_dup import texts_of
 
         for batch in batches:
-            rows = batch.select(names)
-            for at, texts in texts_of(batch, "_text"):
-                cut, group, total, parts = 0, [], 0, []
-                for i, t in enumerate(texts):
-                    group.append(t)
-                    total += len(t)
-                    if total >= CHUNK or i == len(texts) - 1:
-                        parts.append(shared.value.scores(group))
-                        cut, group, total = i + 1, [], 0
-                part = rows.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(parts))], names=[*names, name])
-
-    kinds = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{name}` double")
+            row = batch.column(0)
+            texts = pa.RecordBatch.from_arrays([row.field(place)], names=["text"])
+            scores = [shared.value.scores(group) for _, group in texts_of(texts)]
+            yield pa.RecordBatch.from_arrays([row, pa.array(np.concatenate([*scores, np.zeros(0)]))], names=["row", "score"])
+
+    source = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"))
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField("score", DoubleType())]))
+
+
+def score_texts(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``carry`` and a score from 0 to 1 for each row of ``docs``; the score's name wins over a column of ``docs``.
+
+    Null and empty texts get the score of a text without words, the lowest. Null and repeated ids are as good as others,
+    very long texts are read in overlapping stretches, equal texts have equal scores, an empty table gives no rows.
+    """
+    names = [c for c in carry if c != name]
+    return _scored(docs, machine, [*dict.fromkeys([*names, "text"])]).select(*[F.col("row")[c].alias(c) for c in names], F.col("score").alias(name))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the texts that score ``threshold`` or more. The texts travel with their rows, so no join is needed."""
-    machine = fit(docs, labels)
-    out = score_texts(docs, machine, tuple(docs.columns), "_toxicity")
-    return out.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    """``docs`` without the texts that score ``threshold`` or more.
+
+    All columns stay, whatever their names; the texts travel with their rows, so no join is needed. Null and empty texts
+    stay, rows with null or repeated ids are judged by their own text, an empty table gives no rows.
+    """
+    machine = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    return _scored(docs, machine, docs.columns).where(F.col("score") < threshold).select("row.*")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
