@@ -26,7 +26,7 @@ from .common import BYTE_VALUES, POWER, POWER_INVERSE, SPACES, dropped, mixed, p
 
 WORDS = 5
 #: A link: 100 * |A & B| >= percent * |A | B|; PERCENT unless a caller gives another, OP_PERCENT in op2_near_dedup.
-PERCENT, OP_PERCENT = 85, 85
+PERCENT, OP_PERCENT = 80, 85
 SAMPLES = 128
 #: All bands together may miss a pair at the limit with this probability.
 MISS = 1e-6

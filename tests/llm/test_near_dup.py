@@ -7,7 +7,7 @@ import pytest
 from quire.llm import near_dup as nd
 
 
-def brute(rows):
+def brute(rows, percent=85):
     def shingles(t):
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -25,7 +25,7 @@ def brute(rows):
         for b in ids[x + 1 :]:
             if sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     p, q = sorted((root(a), root(b)))
                     parent[q] = p
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
@@ -43,7 +43,7 @@ def family(r, n, words, edits):
 
 def run(spark, rows):
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, key int")
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(frame).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(frame, nd.OP_PERCENT).collect()}
 
 
 @pytest.mark.parametrize("block", [nd.BLOCK, 16])

@@ -60,7 +60,7 @@ def test_line_dedup(stages):
 def test_near_dedup(stages):
     before, after = stages["near_dedup"]
     docs = before.collect()
-    marks = near_brute([(r.doc_id, r.text) for r in docs])
+    marks = near_brute([(r.doc_id, r.text) for r in docs], 80)
     assert rows(after) == sorted([tuple(r) for r in docs if marks[r.doc_id][2]], key=repr)
 
 
