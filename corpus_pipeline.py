@@ -19,27 +19,43 @@ from quire.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine, trained on the labelled ones among them, doesn't reject."""
+    """Documents that the toxicity machine, trained on the labelled ones among them, doesn't reject.
+
+    Null and empty texts stay; a row with a null or repeated doc_id is judged by its own text; without labels of both
+    classes nothing goes. Extra columns pass through under any name; an empty table gives an empty one.
+    """
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share."""
+    """Documents without the lines that ten or more of them share.
+
+    Null text stays null, an emptied text is empty; every row counts as a document, so a text that ten rows repeat loses
+    all its lines. Extra columns pass through under any name; an empty table gives an empty one.
+    """
     return documents_without_repeats(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (from PERCENT of similarity on), the one with the smallest doc_id.
+
+    Texts without words and rows with a null doc_id stay, rows that repeat a kept doc_id stay all. Extra columns pass
+    through under any name; an empty table gives an empty one.
+    """
     return without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is a source of its own, documents without words stay once, rows with a null or repeated doc_id count by
+    themselves. Extra columns pass through under any name; an empty table gives an empty one.
+    """
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of each document of the mix."""
+    """doc_id and token ids of each document of the mix; null and empty texts have none, an empty table gives no rows."""
     return encode_texts(docs)
 
 
