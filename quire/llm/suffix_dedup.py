@@ -9,8 +9,12 @@ anchor. There the suffix array of all starts is built backwards, a byte at a tim
 byte on, together with the LCP array.
 
 In suffix order a suffix has an earlier match of LEAST bytes just if the previous or next smaller position is reached
-over LCPs of LEAST or more (its longest previous factor is that long). That keeps first copies and removes later ones;
-taking matches anywhere removes the first copies as well.
+over LCPs of LEAST or more (its longest previous factor is that long). That keeps first copies and removes later ones.
+The mirrored factors, by previous and next larger positions, tell matches further on; both together remove the first
+copies as well.
+
+A text is known by 128 bits of its hash, never by its id, so ids may be null or repeated. Rows with one text are read
+once; that they are copies of each other is a count.
 """
 
 from __future__ import annotations
@@ -23,23 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, POWER, POWER_INVERSE, mixed, powers, written
+from .common import BYTE_VALUES, POWER, POWER_INVERSE, dropped, mixed, powers, small_batches, written
 from .near_dup import texts_of
 
 LEAST, GRAM = 200, 80
 #: Starts of a string before its anchor, and windows of grams that have one anchor.
 LEFT = LEAST - GRAM
-#: A text is hashed in stretches of so many bytes.
-STRETCH = 2 << 20
+#: A long text is hashed in stretches of so many bytes, and so many more at both ends.
+STRETCH, MARGIN = 256 << 10, 2 * LEAST
 #: Surroundings that are sorted together, and those of one anchor beyond which strings are matched by hash instead.
 BLOCK, HOT = 60_000, 200_000
+#: Rows of a batch of surroundings, and what stands for a null id in the order of rows.
+ROWS, NO_ID = 4000, (1 << 63) - 1
 PAD = 0xFF
 
 
 def lpf(sa: list[int], lcp: list[int]) -> list[int]:
     """Longest previous factors by previous and next smaller positions in suffix order; lcp[i] is of sa[i - 1] and sa[i].
 
-    The plain linear form; groups use its thresholded form over arrays (:func:`group_spans`).
+    The plain linear form; groups use its thresholded form over arrays (:func:`has_earlier`).
     """
     n = len(sa)
     out = [0] * n
@@ -55,6 +61,22 @@ def lpf(sa: list[int], lcp: list[int]) -> list[int]:
     return out
 
 
+def has_earlier(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """Whether the longest previous factor of each suffix reaches ``least``: for suffixes in suffix order, with their positions.
+
+    A run of LCPs of ``least`` or more is what smaller positions may be reached over, so the previous smaller position is
+    in reach if the run's minimum so far is smaller, and the next smaller one likewise from the other end.
+    """
+    run = np.cumsum(lcp < least)
+    span = int(order.max(initial=0)) + 1
+    ahead, behind = order - run * span, (order + run * span)[::-1]  # each run lies below all that were met before it
+    out = np.zeros(len(order), bool)
+    out[1:] = np.minimum.accumulate(ahead)[:-1] < ahead[1:]
+    back = np.zeros(len(order), bool)
+    back[1:] = np.minimum.accumulate(behind)[:-1] < behind[1:]
+    return out | back[::-1]
+
+
 def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w values in a row."""
     size = 1
@@ -72,7 +94,23 @@ def hash_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of a text's anchors, hashes of their grams, and hashes of their surroundings (LEFT bytes before to LEAST after, as far as the text goes)."""
+    """Places of a text's anchors, hashes of their grams, and hashes of their surroundings (LEFT bytes before to LEAST after, as far as the text goes).
+
+    A long text is read in stretches with all the bytes around them that decide on their anchors.
+    """
+    n = len(data)
+    if n <= STRETCH + 2 * MARGIN:
+        return _anchors_of(data)
+    parts = []
+    for at in range(0, n, STRETCH):
+        lo = max(0, at - MARGIN)
+        place, gram, around = _anchors_of(data[lo : at + STRETCH + MARGIN])
+        own = (place + lo >= at) & (place + lo < at + STRETCH)
+        parts.append((place[own] + lo, gram[own], around[own]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if n < LEAST:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -101,27 +139,26 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(len(p))
             which = pa.array(np.repeat(np.arange(len(texts)), count))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(texts)).take(which), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(rounds).view(np.int64))],
-                names=["doc_id", "place", "gram", "around"],
+                [*[batch.column(c).slice(at, len(texts)).take(which) for c in range(3)], pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(rounds).view(np.int64))],
+                names=["k1", "k2", "doc_id", "place", "gram", "around"],
             )
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes around the places of each text: doc_id, text, and at (array of place, gram, around)."""
+    """Bytes around the places of each text (k1, k2, text, at: array of place, gram, around, first_id, kinds)."""
+    schema = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("first_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+    rows: list[tuple] = []
     for batch in batches:
         for i in range(batch.num_rows):
-            marks = batch.column(2)[i].values
-            if marks is None or not len(marks):
-                continue
-            raw = (batch.column(1)[i].as_py() or "").encode()
-            place = np.asarray(marks.field("place"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    marks.field("gram"), marks.field("around"), pa.repeat(batch.column(0)[i], len(place)), marks.field("place"),
-                    pa.array([raw[max(0, p - LEFT) : p] for p in place], pa.binary()), pa.array([raw[p : p + LEAST] for p in place], pa.binary()),
-                ],
-                names=["gram", "around", "doc_id", "place", "before", "after"],
-            )
+            raw, k1, k2 = batch.column(2)[i].as_py().encode(), batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            for m in batch.column(3)[i].as_py():
+                p = m["place"]
+                rows.append((m["gram"], m["around"], m["first_id"], k1, k2, p, raw[max(0, p - LEFT) : p], raw[p : p + LEAST]))
+            if len(rows) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def group_spans(group: np.ndarray, order: np.ndarray, before: list[bytes], after: list[bytes], first: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +197,9 @@ def group_spans(group: np.ndarray, order: np.ndarray, before: list[bytes], after
                 padded = np.concatenate((lcp, [0]))
                 step[1:][same] = 1 + np.minimum.reduceat(padded, pairs)[::2]
             sa, lcp = sa[place], step
-        run = np.cumsum(lcp < LEAST) - 1
-        starts = np.flatnonzero(lcp < LEAST)
-        if first:
-            hit = np.minimum.reduceat(order[sa], starts)[run] < order[sa]
-        else:
-            hit = np.diff(np.concatenate((starts, [len(sa)])))[run] > 1
+        hit = has_earlier(order[sa], lcp, LEAST)
+        if not first:
+            hit |= has_earlier(n - 1 - order[sa], lcp, LEAST)  # the mirrored factors: matches further on
         found = sa[hit]
         lowest[found] = np.minimum(lowest[found], back)
         highest[found] = np.maximum(highest[found], back)
@@ -175,9 +209,8 @@ def group_spans(group: np.ndarray, order: np.ndarray, before: list[bytes], after
 def _match(first: bool):
     def solve(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
-        doc, place = t["doc_id"].fill_null(0).to_numpy(), t["place"].to_numpy()
-        order = np.empty(len(doc), np.int64)
-        order[np.lexsort((place, doc))] = np.arange(len(doc))
+        order = np.empty(t.num_rows, np.int64)
+        order[np.lexsort([t[c].to_numpy() for c in ("place", "k2", "k1", "first_id")])] = np.arange(t.num_rows)
         lo, hi = group_spans(t["gram"].to_numpy(), order, t["before"].to_pylist(), t["after"].to_pylist(), first)
         keep = pa.array(np.flatnonzero(hi > 0))
         return pa.RecordBatch.from_arrays([t["gram"].combine_chunks().take(keep), t["around"].combine_chunks().take(keep), pa.array(lo.astype(np.int32)).take(keep), pa.array(hi.astype(np.int32)).take(keep)], names=["gram", "around", "lo", "hi"])
@@ -214,7 +247,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 2000)
             a, b, which, back = [], [], [], []
             for i in range(part.num_rows):
-                before, after = part.column(4)[i].as_py(), part.column(5)[i].as_py()
+                before, after = part.column(6)[i].as_py(), part.column(7)[i].as_py()
                 data = np.frombuffer(before + after, np.uint8)
                 starts = np.arange(max(0, len(data) - LEAST + 1))
                 starts = starts[starts <= len(before)]
@@ -227,83 +260,108 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 back.append(len(before) - starts)
             rows = pa.array(np.concatenate(which))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b)), *[part.column(c).take(rows) for c in range(4)], pa.array(np.concatenate(back).astype(np.int32))],
-                names=["wa", "wb", "gram", "around", "doc_id", "place", "back"],
+                [pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b)), *[part.column(c).take(rows) for c in range(6)], pa.array(np.concatenate(back).astype(np.int32))],
+                names=["wa", "wb", "gram", "around", "first_id", "k1", "k2", "place", "back"],
             )
 
 
-def _removed(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for i in range(part.num_rows):
-                    raw = (part.column(1)[i].as_py() or "").encode()
-                    marks = part.column(2)[i].values
-                    gone = np.zeros(len(raw) + 1, np.int32)
-                    if marks is not None and len(marks):
-                        lo = np.maximum(np.asarray(marks.field("from")), 0)
-                        hi = np.minimum(np.asarray(marks.field("to")), len(raw))
-                        ok = hi - lo >= least
-                        np.add.at(gone, lo[ok], 1)
-                        np.add.at(gone, hi[ok], -1)
-                    out = np.cumsum(gone[:-1]) > 0
-                    kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
-                    spans = int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=np.int8(0)) == 1))
-                    rows.append((len(raw), len(raw) - len(kept), spans, kept))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+def without(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, bytes]:
+    """How many runs the bytes [lo, hi) make, and the bytes outside them."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.concatenate(([True], lo[1:] > hi[:-1]))
+    starts, stops = lo[new], hi[np.concatenate((new[1:], [True]))]
+    kept = [raw[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(raw)], strict=True)]
+    return len(starts), b"".join(kept)
 
-    return run
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, cuts, n_alike (rows that are told alike) and n_whole (those of them that go whole, as copies)."""
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            doc_id, text, cuts, alike, whole = (batch.column(c)[i] for c in range(5))
+            raw = text.as_py().encode()
+            alike, whole = alike.as_py(), whole.as_py() if len(raw) >= LEAST else 0
+            spans, kept = 0, raw
+            if cuts.is_valid and whole < alike:
+                lo = np.maximum(np.asarray(cuts.values.field("from")), 0)
+                hi = np.minimum(np.asarray(cuts.values.field("to")), len(raw))
+                ok = hi - lo >= LEAST
+                if ok.any():
+                    spans, kept = without(raw, lo[ok], hi[ok])
+            rows += [(doc_id.as_py(), len(raw), len(raw) - len(kept), spans, kept)] * (alike - whole) + [(doc_id.as_py(), len(raw), len(raw), 1, b"")] * whole
+        if rows:
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, keep: str = "none", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (bytes) for each row of ``docs`` (doc_id, text).
 
-    Removes every byte that a string of LEAST bytes covers which also starts elsewhere, in any text; with keep="first"
-    its first occurrence by doc_id and place stays. Strings are judged on the input. Null and short texts lose nothing.
-    Cuts may split a character, so the kept bytes are bytes. Rows that repeat a doc_id and text are one document, so
-    they don't match each other; nulls among the ids count as one id. An empty table gives no rows.
+    Removes every byte that a string of LEAST bytes covers which also starts elsewhere, in any row; with keep="first"
+    its first occurrence stays, by doc_id (null last), then hash of the text, then place. Strings are judged on the
+    input. Null text is empty; null, empty and short texts lose nothing. Cuts may split a character, so the kept bytes
+    are bytes. Ids play no part in what is removed but for that order: rows with null or repeated ids are rows like all
+    others, and rows with equal texts match each other. Other columns of the input play no part. Very long texts are
+    read in stretches. An empty table gives no rows.
     """
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    found = docs.mapInArrow(_anchors, "doc_id long, place int, gram long, around long")
-    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    marks = written(found.join(again, "gram", "left_semi"), "repeats-anchors")
-    at = F.struct("doc_id", "place")
+    small_batches(docs.sparkSession)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    key = ["k1", "k2"]
+    rows = rows.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"), "doc_id", "text")
+    early = F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id")
+    long_ones = rows.where(F.octet_length("text") >= LEAST)
+    found = long_ones.mapInArrow(_anchors, "k1 long, k2 long, doc_id long, place int, gram long, around long")
+    # grams at two places; written, so that the join deals both of its sides and a very frequent gram can be split
+    spot = F.xxhash64("k1", "k2", "place")
+    again = written(found.groupBy("gram").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select("gram"), "repeats-grams")
+    met = written(found.join(again, "gram", "left_semi"), "repeats-met")
+    marks = written(met.groupBy("gram", "around", "k1", "k2", "place").agg(early), "repeats-anchors")
+    dropped(met)
+    dropped(again)
+    at = F.struct("first_id", "k1", "k2", "place")
     kinds = written(marks.groupBy("gram", "around").agg(F.min(at).alias("one"), F.max(at).alias("last")), "repeats-surroundings")
     sizes = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
     open_kinds = kinds.join(sizes.where("kinds > 1"), "gram").select("gram", "around", "kinds", "one.*")
-    asked = open_kinds.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("place", "gram", "around", "kinds")).alias("at"))
-    every = marks.select(F.col("doc_id").alias("_d")).distinct().join(asked, "_d", "left") if keep == "first" else marks.select(F.col("doc_id").alias("_d")).distinct().join(asked, "_d", "left")
-    held = written(docs.join(every, docs["doc_id"].eqNullSafe(every["_d"])).select("doc_id", "text", "at"), "repeats-texts")
-    schema = "gram long, around long, doc_id long, place int, before binary, after binary"
-    some = lambda test: held.select("doc_id", "text", F.filter("at", test).alias("at")).where(F.size("at") > 0).mapInArrow(_surroundings, schema).dropDuplicates(["gram", "around"])
+    asked = open_kinds.groupBy(key).agg(F.collect_list(F.struct("place", "gram", "around", "first_id", "kinds")).alias("at"))
+    texts = long_ones.groupBy(key).agg(F.first("text").alias("text"))
+    held = written(texts.join(asked, key).select("k1", "k2", "text", "at"), "repeats-texts")
+    schema = "gram long, around long, first_id long, k1 long, k2 long, place int, before binary, after binary"
+    some = lambda test: held.select("k1", "k2", "text", F.filter("at", test).alias("at")).where(F.size("at") > 0).mapInArrow(_surroundings, schema)
     sorted_groups = some(lambda m: m["kinds"] <= hot).repartition("gram").sortWithinPartitions("gram")
     spans = sorted_groups.mapInArrow(_match(keep == "first"), "gram long, around long, lo int, hi int")
-    # an anchor in very many surroundings: strings over it are matched by hash, which aggregates
-    windows = some(lambda m: m["kinds"] > hot).mapInArrow(_windows, "wa long, wb long, gram long, around long, doc_id long, place int, back int")
-    start = F.struct("doc_id", (F.col("place") - F.col("back")).alias("start"))
+    # an anchor in more surroundings than a task sorts: strings over it are matched by hash, which aggregates
+    windows = some(lambda m: m["kinds"] > hot).mapInArrow(_windows, "wa long, wb long, gram long, around long, first_id long, k1 long, k2 long, place int, back int")
+    start = F.struct("first_id", "k1", "k2", (F.col("place") - F.col("back")).alias("start"))
     shared = windows.groupBy("wa", "wb").agg(F.min(start).alias("lo_at"), F.max(start).alias("hi_at")).where("lo_at <> hi_at")
-    met = windows.join(shared, ["wa", "wb"])
+    both = windows.join(shared, ["wa", "wb"])
     if keep == "first":
-        met = met.where(start != F.col("lo_at"))
-    hot_spans = met.groupBy("gram", "around").agg(F.max("back").alias("lo"), (LEAST - F.min("back")).cast("int").alias("hi"))
+        both = both.where(start != F.col("lo_at"))
+    hot_spans = both.groupBy("gram", "around").agg(F.max("back").alias("lo"), (LEAST - F.min("back")).cast("int").alias("hi"))
     spans = written(spans.unionByName(hot_spans), "repeats-spans")
+    dropped(held)
     # a surrounding that occurs twice is covered whole
     cover = kinds.join(spans, ["gram", "around"], "left").withColumn("whole", F.col("one") != F.col("last")).where("whole or hi is not null")
-    cover = cover.select("gram", "around", "one", "whole", "lo", "hi")
-    here = F.struct("doc_id", "place")
-    whole = F.col("whole") & (here != F.col("one")) if keep == "first" else F.col("whole")
+    cover = written(cover.select("gram", "around", "one", "whole", "lo", "hi"), "repeats-cover")
+    whole = F.col("whole") & (at != F.col("one")) if keep == "first" else F.col("whole")
     cut = marks.join(cover, ["gram", "around"]).withColumn("_w", whole).where("_w or hi is not null")
     lo, hi = F.when(F.col("_w"), F.lit(LEFT)).otherwise(F.col("lo")), F.when(F.col("_w"), F.lit(LEAST)).otherwise(F.col("hi"))
-    cuts = cut.select(F.col("doc_id").alias("_d"), F.struct((F.col("place") - lo).alias("from"), (F.col("place") + hi).alias("to")).alias("cut"))
-    cuts = cuts.groupBy("_d").agg(F.collect_set("cut").alias("cuts"))
-    changed = held.join(cuts, held["doc_id"].eqNullSafe(cuts["_d"]), "left").select("doc_id", "text", "cuts").mapInArrow(_removed(LEAST), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    ids = marks.select(F.col("doc_id").alias("_d")).distinct()
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    same = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_d"]), "left_anti")
-    return changed.unionByName(same.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept")))
+    cuts = cut.select(*key, F.struct((F.col("place") - lo).alias("from"), (F.col("place") + hi).alias("to")).alias("cut")).groupBy(key).agg(F.collect_set("cut").alias("cuts"))
+    copies = long_ones.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), early).where("copies > 1")
+    known = written(cuts.join(copies, key, "full").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "cuts", "copies", "first_id"), "repeats-cuts")
+    for table in (marks, kinds, spans, cover):
+        dropped(table)
+    same = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2"))
+    if keep == "first":
+        # rows with one id and one text go together: at most one of them is the first
+        told = rows.groupBy("k1", "k2", "doc_id").agg(F.first("text").alias("text"), F.count(F.lit(1)).cast("int").alias("alike")).join(known, same, "left")
+        is_first = F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first_id")
+        n_whole = F.when(F.col("copies").isNull(), 0).when(is_first, F.col("alike") - 1).otherwise(F.col("alike"))
+    else:
+        told = rows.withColumn("alike", F.lit(1)).join(known, same, "left")
+        n_whole = F.when(F.col("copies").isNull(), 0).otherwise(1)
+    return told.select("doc_id", "text", "cuts", "alike", n_whole.alias("n_whole")).mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

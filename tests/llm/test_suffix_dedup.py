@@ -74,3 +74,41 @@ def test_every_window_has_its_anchor():
     data = np.frombuffer("".join(random.Random(2).choice("abc ") for _ in range(3000)).encode(), np.uint8)
     at = set(sd.anchors(data)[0].tolist())
     assert all(any(p in at for p in range(s, s + sd.LEFT + 1)) for s in range(len(data) - sd.LEAST + 1))
+
+
+def by_rows(rows, first=False):
+    """Results of rows (doc_id, text), each a document of its own whatever its id, as a sorted list."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)) if first else range(len(rows))
+    found = brute([(place, rows[i][1]) for place, i in enumerate(order)], first)
+    return sorted(((rows[i][0], *found[place]) for place, i in enumerate(order)), key=repr)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_null_and_repeated_ids(spark, keep):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(n))
+    p, a, b, c = prose(60), prose(90), prose(120), prose(70)
+    rows = [(7, p + a), (7, b), (None, c + p), (None, b[:50] + c), (9, a), (None, None), (None, "short"), (3, p + prose(20)), (5, prose(50)), (5, prose(50))]
+    rows += [(11, "z" * 400), (12, c), (12, c), (12, c), (None, prose(40))]
+    frame = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, k1 int")
+    found = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in sd.remove_repeats(frame, keep).collect()), key=repr)
+    assert found == by_rows(rows, keep == "first")
+
+
+def test_thresholded_factors():
+    r = random.Random(4)
+    for _ in range(30):
+        s = "".join(r.choice("ab") for _ in range(40))
+        sa = sorted(range(40), key=lambda i: s[i:])
+        common = lambda i, j: next((k for k in range(40) if i + k >= 40 or j + k >= 40 or s[i + k] != s[j + k]), 40)
+        lcp = [0] + [common(sa[i - 1], sa[i]) for i in range(1, 40)]
+        factors = sd.lpf(sa, lcp)
+        for least in (1, 3, 6):
+            assert sd.has_earlier(np.array(sa), np.array(lcp), least).tolist() == [factors[i] >= least for i in sa]
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    data = np.frombuffer("".join(random.Random(6).choice("abc ") for _ in range(30_000)).encode(), np.uint8)
+    whole = sd._anchors_of(data)
+    monkeypatch.setattr(sd, "STRETCH", 3000)
+    assert all(np.array_equal(x, y) for x, y in zip(sd.anchors(data), whole, strict=True))
