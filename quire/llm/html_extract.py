@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags. The first pass looks at each bloc
 stop-word density make it good or bad or leave it undecided. The second pass gives undecided blocks the label of their
 nearest decided neighbours. Markup tells what the densities can't: navigation, footers, asides, forms and elements whose
 class, id or role names such a thing are never text, and where a page marks its article, blocks elsewhere are bad and
-undecided ones inside are the article's unless their neighbours on both sides are bad.
+undecided ones inside are the article's unless their neighbours on both sides are bad. What a page marks as an article
+is one by its share of the text: small marked pieces beside a long one, or beside long prose without a mark, are blocks
+like all others. Where a page's language is none of the known ones, length and link density decide alone.
 """
 
 from __future__ import annotations
@@ -12,14 +14,19 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Characters: shorter blocks are undecided, longer ones with many stop words are good.
 SHORT, LONG = 70, 200
 #: Shares of words that are stop words, and of characters inside links.
 STOP_LOW, STOP_HIGH, MOST_LINKED = 0.2, 0.3, 0.5
+#: A marked article with a smaller share of text than this of the largest one is no article.
+SMALL = 0.25
 
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i if in into is it its "
@@ -37,6 +44,8 @@ BLOCK_TAGS = frozenset(
     "head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Inside an article such a block may be one link.
+PROSE_TAGS = HEADINGS | {"p", "blockquote", "figcaption", "pre"}
 #: Elements whose content is no text of a page.
 NO_TEXT = "script|style|noscript|template|textarea|iframe|svg|math|canvas|object|audio|video|title|select|datalist"
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button search label".split())
@@ -48,6 +57,11 @@ BOILERPLATE_NAMES = frozenset(
     "pagination popup promo promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription tagcloud teaser toolbar topbar widget".split()
 )
+#: Parts that say nothing: a name is boilerplate if it has a part from above and all others are from here or numbers.
+NEUTRAL_NAMES = frozenset(
+    "area article articles bar blog block body bottom box btn button buttons col column container content entry global group holder icons inner item items left link links list main "
+    "module news outer page panel post posts primary right row secondary section site slot stories strip text top unit view wp wrap wrapper".split()
+)
 #: Such names are boilerplate outside an article only.
 HEADER_NAMES = frozenset("header head sitehead siteheader".split())
 PHRASE = re.compile(r"©|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bsubscribe\b|\bsign (?:up|in)\b|\blog ?in\b|\badvertisement\b|\bread more\b|\bshare (?:this|on)\b", re.I)
@@ -75,31 +89,36 @@ def is_boilerplate(tag: str, rest: str, in_article: bool) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    names = CAMEL.sub("-", NOT_THERE.sub("", f"{found.get('class', '')} {found.get('id', '')}")).lower()
-    parts = set(PART.findall(names))
-    return not parts.isdisjoint(BOILERPLATE_NAMES) or (not in_article and not parts.isdisjoint(HEADER_NAMES))
+    wanted = BOILERPLATE_NAMES if in_article else BOILERPLATE_NAMES | HEADER_NAMES
+    for name in NOT_THERE.sub("", f"{found.get('class', '')} {found.get('id', '')}").split():
+        parts = {p for p in PART.findall(CAMEL.sub("-", name).lower()) if not p.isdigit()}
+        if not parts.isdisjoint(wanted) and parts <= wanted | NEUTRAL_NAMES:
+            return True
+    return False
 
 
-class Block:
-    __slots__ = ("article", "heading", "linked", "parts")
+class Block(NamedTuple):
+    """Text, link density, the number of the marked article around it (0: none), and the tag that opened it."""
 
-    def __init__(self, article: bool, heading: bool) -> None:
-        self.article, self.heading, self.linked, self.parts = article, heading, [], []
+    text: str
+    linked: float
+    article: int
+    tag: str
 
 
-def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, link density, in an article, is a heading) of each block that is not inside boilerplate markup."""
-    found: list[Block] = []
-    now = Block(False, False)
-    article, link = 0, 0
+def blocks_of(page: str) -> list[Block]:
+    """The blocks that are not inside boilerplate markup."""
+    found: list[tuple[list[str], list[str], int, str]] = []
+    now: tuple[list[str], list[str], int, str] = ([], [], 0, "")
+    article, link, number = 0, 0, 0
     skip, depth = "", 0
     at = 0
 
     def put(raw: str) -> None:
         if not skip and raw:
-            now.parts.append(raw)
+            now[0].append(raw)
             if link:
-                now.linked.append(raw)
+                now[1].append(raw)
 
     for m in TOKEN.finditer(page):
         put(page[at : m.start()])
@@ -130,8 +149,9 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
             found.append(now)
             link = 0 if not end and tag != "a" and link and tag in ("article", "main", "section", "body") else link
             if tag in ("article", "main"):
+                number += not end and article == 0
                 article = max(0, article - 1) if end else article + 1
-            now = Block(article > 0, not end and tag in HEADINGS)
+            now = ([], [], number if article else 0, "" if end else tag)
         if not end and tag not in ("br", "hr", "img", "input", "meta", "link") and is_boilerplate(tag, rest, article > 0 and tag != "article"):
             if tag == "article":
                 article -= 1
@@ -139,31 +159,64 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
                 skip, depth = tag, 1
                 if tag not in BLOCK_TAGS:
                     found.append(now)
-                    now = Block(article > 0, False)
+                    now = ([], [], number if article else 0, "")
     put(page[at:])
     found.append(now)
     out = []
-    for b in found:
-        text = " ".join(entities.unescape("".join(b.parts)).split())
+    for parts, in_links, of, tag in found:
+        text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            linked = len(" ".join(entities.unescape("".join(b.linked)).split()))
-            out.append((text, linked / len(text), b.article, b.heading))
+            out.append(Block(text, len(" ".join(entities.unescape("".join(in_links)).split())) / len(text), of, tag))
     return out
 
 
-def first_pass(text: str, linked: float, article: bool, marked: bool) -> str:
+def weight(text: str) -> int:
+    """Length as if written in letters: a character of a script without spaces counts as three."""
+    return len(text) + 2 * sum(c >= "\u2e80" for c in text) if not text.isascii() else len(text)
+
+
+def stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def is_known(blocks: list[Block]) -> bool:
+    """Whether the stop words say anything of a page's prose: one of its long blocks has many, or it has no long ones."""
+    long = [b.text for b in blocks if b.linked <= MOST_LINKED and weight(b.text) >= LONG]
+    return not long or any(stop_share(t) >= STOP_HIGH for t in long)
+
+
+def articles_of(blocks: list[Block], known: bool) -> set[int]:
+    """The numbers of marked articles that hold the page's text: none smaller than SMALL of the largest one or of the prose outside."""
+    size: dict[int, int] = {}
+    outside = 0
+    for b in blocks:
+        plain = round(weight(b.text) * (1 - b.linked))
+        if b.article:
+            size[b.article] = size.get(b.article, 0) + plain
+        elif first_pass(b, False, False, known) in ("good", "near"):
+            outside += plain
+    most = max([outside, *size.values()])
+    return {n for n, s in size.items() if s >= SMALL * most and s > 0}
+
+
+def first_pass(b: Block, inside: bool, marked: bool, known: bool = True) -> str:
     """good, bad, near (undecided, looks like prose) or short (undecided)."""
-    if linked > MOST_LINKED or (marked and not article):
+    long = weight(b.text)
+    if marked and not inside:
+        return "bad"
+    if b.linked > MOST_LINKED and not (inside and b.tag in PROSE_TAGS and not PHRASE.search(b.text)):
         return "bad"
-    if not article and len(text) < LONG and PHRASE.search(text):
+    if not inside and long < LONG and PHRASE.search(b.text):
         return "bad"
-    if len(text) < SHORT:
+    if long < SHORT:
         return "short"
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    if not known:
+        return "good" if long >= LONG else "near"
+    stops = stop_share(b.text)
     if stops >= STOP_HIGH:
-        return "good" if len(text) >= LONG else "near"
-    if stops >= STOP_LOW or article:
+        return "good" if long >= LONG else "near"
+    if stops >= STOP_LOW or inside:
         return "near"
     return "bad"
 
@@ -199,10 +252,12 @@ def second_pass(labels: list[str], article: list[bool], heading: list[bool]) ->
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    marked = any(b[2] for b in blocks)
-    labels = [first_pass(text, linked, article, marked) for text, linked, article, _ in blocks]
-    keep = second_pass(labels, [b[2] for b in blocks], [b[3] for b in blocks])
-    return "\n".join(b[0] for b, k in zip(blocks, keep, strict=True) if k)
+    known = is_known(blocks)
+    articles = articles_of(blocks, known) if any(b.article for b in blocks) else set()
+    inside = [b.article in articles for b in blocks]
+    labels = [first_pass(b, i, bool(articles), known) for b, i in zip(blocks, inside, strict=True)]
+    keep = second_pass(labels, inside, [b.tag in HEADINGS for b in blocks])
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +271,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html).
 
-    Null, empty and text-less pages give an empty text; ids and urls pass through, null or repeated; an empty table
-    gives no rows.
+    Null, empty and text-less pages give an empty text; ids and urls pass through, null or repeated; pages are read
+    whole, however long; other columns of the input play no part; an empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
