@@ -71,7 +71,15 @@ def belongs_to(url: Column, identifier: Column) -> Column:
 
 def is_synthesized(url: Column) -> Column:
     """Machine-read audio lies below /<number>-m/."""
-    return F.coalesce(url.rlike(r"/\d+-m/"), F.lit(False))
+    return F.coalesce(url.rlike(r"(?i)/\d+-m/"), F.lit(False))
+
+
+def is_live_content(url: Column) -> Column:
+    """Whether a listed URL is a file of a known kind, and neither metadata nor a warning."""
+    path = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"[?#].*$", ""), r"^[a-z]+://[^/]*", "")
+    name = F.substring_index(path, "/", -1)
+    kind = F.coalesce(media_type(name), audio_type(name))
+    return (name != "") & ~name.startswith("readme_warning") & ~name.endswith(".nfo") & ~name.endswith(".rdf") & kind.isNotNull()
 
 
 def base_of(url: Column) -> Column:

@@ -150,7 +150,9 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def round_robin(rows: DataFrame, order: str, shards: int) -> DataFrame:
     """The shard of each row by its position in order."""
-    return rows.withColumn("shard", (F.row_number().over(Window.orderBy(order)) - 1) % shards)
+    from .ordinals import with_position
+
+    return with_position(rows, order, "shard").withColumn("shard", F.col("shard") % shards)
 
 
 def first_done(results: DataFrame) -> DataFrame:

@@ -21,6 +21,37 @@ Model = Callable[[list[str]], list[str]]
 CHUNK_WORDS, OVERLAP_WORDS, WINDOW_WORDS = 4096, 400, 8192
 LEAST_CHUNK_WORDS = 20
 SEMANTIC, LEXICAL, CONTRADICTION = 0.60, 0.35, 0.50
+# What model output is tidied by, in order. Names of commands that lost their backslash, then brackets, marks and formulas.
+TIDY = (
+    (r"@xmath\d+", ""),
+    (r"\blabeleq\d*\b", ""),
+    (r"&=&", " = "),
+    (r"\s*&\s*([=+\-*/])\s*&\s*", " $1 "),
+    (r"\s*&{2,}\s*", " "),
+    (r"\\\s*\[", r"\\["),
+    (r"\\\s*\]", r"\\]"),
+    (r"frac12", r"\\frac{1}{2}"),
+    (r"\bleft([(\[{])", r"\\left$1"),
+    (r"\bright([)\]}])", r"\\right$1"),
+    (r"nonumber", ""),
+    (r"endaligned", ""),
+    (r"nabla", r"\\nabla"),
+    (r"delta_ij", r"\\delta_{ij}"),
+    (r"(?<!\\)delta\(", r"\\delta("),
+    (r"mathbf([xyn])", r"\\mathbf{$1}"),
+    (r"hatbf\s*([a-zA-Z])", r"\\hat{\\mathbf{$1}}"),
+    (r"int_v", r"\\int_V"),
+    (r"intlimits_0p", r"\\int_{0}^{p}"),
+    (r"\.:", ". "),
+    (r"\[\s*(?:\[\s*)+", "[ "),
+    (r"\]\s*(?:\]\s*)+", "] "),
+    (r"([!?])\1{2,}", "$1"),
+    (r"(?<lead>\s?)\s*(?<span>[=+\-*/^_()\[\]{},\s']*\\(?:frac|int|delta|nabla|mathbf|hat|left|right)[^.!?;:]*?)\s*(?=[.!?;:]|$)", r"${lead}\\(${span}\\)"),
+    (r"\s+", " "),
+    (r"\s+([,.;:!?])", "$1"),
+    (r"\.\s*:", ". "),
+    (r"\s+", " "),
+)
 # Headings that a model leaks from its prompt, and those that open its answer.
 SCAFFOLD = r"instruction|constraints?|excerpt|input\s+summaries|response|book|section|scope|chunk|story\s+so\s+far|chapter\s+summaries|for\s+each\s+person|categories|author|reply\b"
 ANSWER = r"summary|character\s+profiles|narrator\s+profile|category"
@@ -55,28 +86,37 @@ def windows(words: list[str], size: int, overlap: int) -> list[list[str]]:
 
 
 def reduced(title: str, parts: list[str], model: Model, window: int = WINDOW_WORDS) -> str:
-    """One summary of several: while they don't fit the window they are cut, summarised and tried again."""
+    """One summary of several: while they don't fit the window they are cut, summarised and tried again.
+
+    None give an empty one, a single one passes through. Where a model's answers are not shorter than what it was asked,
+    trying again would never end: the answers of the windows are joined then, so no word is dropped.
+    """
+    parts = [p for p in parts if p and p.strip()]
+    if len(parts) < 2:
+        return parts[0] if parts else ""
     while True:
-        text = " ".join(f"{i}. {p}" for i, p in enumerate(parts, 1))
-        words = text.split()
-        if len(words) <= window or len(parts) == 0:
+        words = " ".join(f"{i}. {p}" for i, p in enumerate(parts, 1)).split()
+        if len(words) <= window or len(parts) == 1:
             return model([reduce_prompt(title, parts)])[0]
         cut = [" ".join(w) for w in windows(words, window, 0)]
         shorter = model([chunk_prompt(title, c, "") for c in cut])
-        if sum(len(s.split()) for s in shorter) >= len(words):  # a model that doesn't shorten would never end
-            return model([reduce_prompt(title, [" ".join(words[:window])])])[0]
+        if sum(len(s.split()) for s in shorter) >= len(words):
+            return " ".join(s for s in shorter if s.strip())
         parts = shorter
 
 
-def fold(title: str, chapters: list[tuple[str, str]], model: Model, done: dict[int, tuple[str, str, int]] | None = None, chunk: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, window: int = WINDOW_WORDS) -> list[tuple[int, str, int, str, str]]:
-    """(index, title, chunks, summary, story so far) of each chapter; chapters that a checkpoint holds are taken from it."""
+def fold(title: str, chapters: list[tuple[str, str]], model: Model, done: dict[int, tuple[str, str, int]] | None = None, chunk: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, window: int = WINDOW_WORDS, least: int = 0) -> list[tuple[int, str, int, str, str]]:
+    """(index, title, chunks, summary, story so far) of each chapter; chapters that a checkpoint holds are taken from it.
+
+    Chunks of fewer than ``least`` words are not asked for (LEAST_CHUNK_WORDS suits models behind a network).
+    """
     out, summaries, story = [], [], ""
     for i, (name, text) in enumerate(chapters, 1):
         if done and i in done:
             summary, story, n = done[i]
         else:
             parts = windows(text.split(), chunk, overlap)
-            asked = [p for p in parts if len(p) >= LEAST_CHUNK_WORDS]
+            asked = [p for p in parts if p and len(p) >= least]
             answers = model([chunk_prompt(title, " ".join(p), story) for p in asked]) if asked else []
             n = len(parts)
             summary = reduced(name, [a for a in answers if a], model, window) if answers else ""
@@ -89,7 +129,7 @@ def fold(title: str, chapters: list[tuple[str, str]], model: Model, done: dict[i
 RESULT = "bookid long, chapter_index int, chapter_title string, chunk_count int, summary string, story_so_far string"
 
 
-def summarize_books(books: DataFrame, model: Model | None = None, checkpoint: DataFrame | None = None, chunk: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
+def summarize_books(books: DataFrame, model: Model | None = None, checkpoint: DataFrame | None = None, chunk: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, window: int = WINDOW_WORDS, least: int = 0) -> DataFrame:
     """RESULT for each chapter of books (bookid, title, text). Chapters in ``checkpoint`` (RESULT) aren't computed again.
 
     The fold is sequential in a book by its nature and parallel over books; a row holds a book, so no group is gathered.
@@ -107,7 +147,7 @@ def summarize_books(books: DataFrame, model: Model | None = None, checkpoint: Da
             found = []
             for r in frame.itertuples(index=False):
                 done = {d["chapter_index"]: (d["summary"], d["story_so_far"], d["chunk_count"]) for d in (r.done if r.done is not None else [])}
-                found += [(r.bookid, *x) for x in fold(r.title or "", chapters_of(r.text or ""), run, done, chunk, overlap, window)]
+                found += [(r.bookid, *x) for x in fold(r.title or "", chapters_of(r.text or ""), run, done, chunk, overlap, window, least)]
             yield pd.DataFrame(found, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return rows.mapInPandas(work, RESULT)
@@ -134,12 +174,9 @@ def primary_text(answer: Column) -> Column:
 
 
 def normalized_summary(text: Column) -> Column:
-    """Tidy model output: placeholders go, operators and ampersands are spaced, brackets and punctuation are single."""
-    out = primary_text(text)
-    for pattern, new in (
-        (r"@xmath\d+", ""), (r"\blabeleq\d*\b", ""), (r"\s*&\s*([=+\-*/])\s*&\s*", " $1 "), (r"\s*&{2,}\s*", " "), (r"\bnonumber\b|\bendaligned\b", ""), (r"frac12", r"\\frac{1}{2}"),
-        (r"\[\s*(?:\[\s*)+", "["), (r"\]\s*(?:\]\s*)+", "]"), (r"\s+([,.;:!?])", "$1"), (r"([!?])\1{2,}", "$1"), (r"[ \t]+", " "),
-    ):
+    """Tidy model output: placeholders go, operators and ampersands are spaced, brackets and punctuation are single, formulas are marked as such, and all is one line."""
+    out = F.regexp_replace(primary_text(text), "\u00a0", " ")
+    for pattern, new in TIDY:
         out = F.regexp_replace(out, pattern, new)
     return F.trim(out)
 

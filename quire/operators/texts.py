@@ -136,41 +136,48 @@ def strip_dangling_css(text: str) -> str:
 def strip_prefixed_contents(text: str) -> str:
     """Drops a list of chapters before the text: a contents mark, eight numbered headings close together, and then numbering from the start again."""
     lines = text.split("\n")
-    if len(lines) < 80 or not re.search(r"(?im)^\s*(?:table of\s+)?contents\b", text[:4000]):
+    mark = next((i for i, x in enumerate(lines[:4000]) if re.match(r"^\s*(?:table of\s+)?contents\b", x, re.I)), None)
+    if len(lines) < 80 or mark is None:
         return text
-    found = [(i, n) for i, x in enumerate(lines[:2200]) if (m := re.match(CHAPTER_LISTING, x, re.I)) and (n := heading_number(m[2])) is not None]
+    found = [(i, n) for i, x in enumerate(lines[mark + 1 : mark + 2200], mark + 1) if (m := re.match(CHAPTER_LISTING, x, re.I)) and (n := heading_number(m[2])) is not None]
     if len(found) < 8:
         return text
     for k in range(8, len(found)):
         listed, (line, number) = found[:k], found[k]
-        if number != found[0][1] or number > listed[-1][1]:
+        if number != found[0][1]:
             continue
         gaps = [b[0] - a[0] for a, b in zip(listed, listed[1:], strict=False)]
         if sum(g <= 40 for g in gaps) < 0.7 * len(gaps):
             continue
         if k + 1 < len(found) and found[k + 1][1] != number + 1:
             continue
-        return "\n".join(lines[line:])
+        # what stands before the mark, a title page or a preface, is no list
+        return "\n".join(lines[:mark] + lines[line:]).strip() or text
     return text
 
 
 def strip_contents_page(text: str) -> str:
-    """Drops a page of "title   number" rows below a contents line; a row may be wrapped over up to three lines."""
+    """Drops a page of eight or more "title   number" rows below a contents line.
+
+    A line that is no row belongs to the list if the next one that isn't blank, among three, is a row: a title that goes
+    on in the next line. The list ends at the first other line; a list without an end is left alone.
+    """
     lines = text.split("\n")
-    start = next((i for i, x in enumerate(lines) if re.match(r"^\s*contents\.?\s*$", x, re.I)), None)
+    start = next((i for i, x in enumerate(lines[:3000]) if re.match(r"^\s*contents\.?\s*$", x, re.I)), None)
     if len(lines) < 20 or start is None:
         return text
-    entry, rows, i = re.compile(r"^\s*.+?\s{2,}\d{1,4}\s*$"), 0, start + 1
-    last = start
-    while i < len(lines):
-        ahead = next((j for j in range(i, min(i + 4, len(lines))) if entry.match(lines[j])), None)
-        if not lines[i].strip() or re.match(r"^\s*page\.?\s*$", lines[i], re.I):
-            i += 1
-        elif ahead is not None:
-            rows, last, i = rows + 1, ahead, ahead + 1
-        else:
-            break
-    return "\n".join(lines[:start] + lines[last + 1 :]) if rows >= 8 else text
+    listed = [x.strip() for x in lines[start + 1 : start + 2600]]
+    is_row = [re.match(r"\S.*?\s{2,}\d{1,4}$", x) is not None for x in listed]
+
+    def ends(i: int) -> bool:
+        if not listed[i] or is_row[i] or re.match(r"page\.?$", listed[i], re.I):
+            return False
+        return not next((is_row[j] for j in range(i + 1, min(i + 4, len(listed))) if listed[j]), False)
+
+    end = next((i for i in range(len(listed)) if ends(i)), None)
+    if end is None or sum(is_row[:end]) < 8:
+        return text
+    return "\n".join(lines[:start] + lines[start + 1 + end :]).strip() or text
 
 
 scan_text = text_function()(lambda t: strip_prefixed_contents(strip_contents_page(t)))
@@ -301,9 +308,11 @@ def char_chunks(text: Column, size: int) -> Column:
 def token_windows(words: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words that start every max(1, size - overlap); one window if all words fit."""
     step = max(1, size - overlap)
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda i: F.slice(words, i * step + 1, F.lit(size)))
-    return F.when(n == 0, F.array().cast("array<array<string>>")).when(n <= size, F.array(words)).otherwise(many)
+    # the array around ``words`` has one element: it binds their value, which would be computed again for each window
+    bound = lambda w: F.when(F.size(w) == 0, F.array().cast("array<array<string>>")).when(F.size(w) <= size, F.array(w)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / step).cast("int")), lambda i: F.slice(w, i * step + 1, F.lit(size)))
+    )
+    return F.transform(F.array(words), bound)[0]
 
 
 # HTML

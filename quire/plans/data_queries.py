@@ -100,19 +100,15 @@ def genre_json(spark, sf):
     return rows.select("event_id", F.array_join(jsonx.genres(F.col("props")), "|").alias("genres"))
 
 
-def _whole_queue(spark, sf):
-    """A queue of all orders; ``_queue`` is the part of it that the first queries' SQL names."""
+def _queue(spark, sf):
+    """A queue of all orders."""
     o = table(spark, sf, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "failed").otherwise("skipped")
     return o.select(F.when(F.col("o_orderkey") % 2 == 0, "html").otherwise("text").alias("queue_key"), F.col("o_orderkey").alias("bookid"), status.alias("status"), (F.col("o_orderkey") % 5).cast("int").alias("attempts"), F.col("o_orderpriority").alias("last_error"))
 
 
-def _queue(spark, sf):
-    return _whole_queue(spark, sf).where("bookid < 3000")
-
-
 def queue_seed(spark, sf):
-    targets = table(spark, sf, "orders").where("o_orderkey >= 2500 and o_orderkey < 3500").select(F.col("o_orderkey").alias("bookid"))
+    targets = table(spark, sf, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("bookid"))
     return state.queue_seed(_queue(spark, sf), targets, "html").select("queue_key", "bookid", "status", F.col("attempts").cast("bigint").alias("attempts"), "last_error")
 
 
@@ -125,26 +121,8 @@ def queue_pending(spark, sf):
 
 
 def queue_transition(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 4 = 0 and o_orderkey < 3000").select(F.lit("html").alias("queue_key"), F.col("o_orderkey").alias("bookid"), F.lit("failed").alias("status"), F.lit(1).alias("delta"), F.repeat(F.lit("e"), F.lit(600)).alias("error"))
-    return state.queue_transition(_queue(spark, sf), o).select("queue_key", "bookid", "status", F.col("attempts").cast("bigint").alias("attempts"), "last_error")
-
-
-def queue_seed_whole(spark, sf):
-    targets = table(spark, sf, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("bookid"))
-    return state.queue_seed(_whole_queue(spark, sf), targets, "html").select("queue_key", "bookid", "status", F.col("attempts").cast("bigint").alias("attempts"), "last_error")
-
-
-def queue_status_whole(spark, sf):
-    return state.queue_status(_whole_queue(spark, sf))
-
-
-def queue_pending_whole(spark, sf):
-    return state.queue_pending(_whole_queue(spark, sf), "html", 3).select("bookid", F.col("attempts").cast("bigint").alias("attempts"))
-
-
-def queue_transition_whole(spark, sf):
     o = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.lit("html").alias("queue_key"), F.col("o_orderkey").alias("bookid"), F.lit("failed").alias("status"), F.lit(1).alias("delta"), F.repeat(F.lit("e"), F.lit(600)).alias("error"))
-    return state.queue_transition(_whole_queue(spark, sf), o).select("queue_key", "bookid", "status", F.col("attempts").cast("bigint").alias("attempts"), "last_error")
+    return state.queue_transition(_queue(spark, sf), o).select("queue_key", "bookid", "status", F.col("attempts").cast("bigint").alias("attempts"), "last_error")
 
 
 def _base(spark, sf):
@@ -167,12 +145,6 @@ def insert_ignore(spark, sf):
 
 
 def replace_children(spark, sf):
-    line = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("n")).where("l_orderkey < 500")
-    new = table(spark, sf, "orders").where("o_orderkey % 3 = 0 and o_orderkey < 600").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(-1).cast("bigint").alias("n"))
-    return state.replace_children(line, new, "l_orderkey")
-
-
-def replace_children_whole(spark, sf):
     line = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("n"))
     new = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(-1).cast("bigint").alias("n"))
     return state.replace_children(line, new, "l_orderkey")
@@ -262,14 +234,11 @@ def markup_flag(spark, sf):
 
 
 def marker_mismatch(spark, sf):
-    cases = [(1, "x [eBook #98] y", 98), (2, "eText #98 then [eBook #99]", 98), (3, None, 5), (4, "none", 5), (5, "ebook # 7", 7), (6, "z" * 30_000 + "[ebook #1]", 2), (7, "EText #12", 13)]
-    return spark.createDataFrame(cases, "id bigint, text string, expected bigint").select("id", T.marker_id(F.col("text")).alias("found"), T.marker_mismatch(F.col("text"), F.col("expected")).alias("mismatch"))
-
-
-def marker_mismatch_whole(spark, sf):
-    """Documents under a header that names a book, which is the expected one for some of them."""
+    """Documents under a header that names a book, which is the expected one for some of them, and rows for the rarer forms."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("[eBook #"), (F.col("doc_id") % 50).cast("string"), F.lit("]\n"), F.coalesce("text", F.lit(""))).alias("text"), (F.col("doc_id") % 75).alias("expected"))
-    return d.select("id", T.marker_id(F.col("text")).alias("found"), T.marker_mismatch(F.col("text"), F.col("expected")).alias("mismatch"))
+    cases = [(-1, "x [eBook #98] y", 98), (-2, "eText #98 then [eBook #99]", 98), (-3, None, 5), (-4, "none", 5), (-5, "ebook # 7", 7), (-6, "z" * 30_000 + "[ebook #1]", 2), (-7, "EText #12", 13)]
+    rows = spark.createDataFrame(cases, "id bigint, text string, expected bigint").unionByName(d)
+    return rows.select("id", T.marker_id(F.col("text")).alias("found"), T.marker_mismatch(F.col("text"), F.col("expected")).alias("mismatch"))
 
 
 def search_tokens(spark, sf):
@@ -287,15 +256,6 @@ def desc_accept(spark, sf):
 
 
 def cosine_topk(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    scored = e.select("vec_id", "embedding", F.lit(1).alias("_k")).join(F.broadcast(q.withColumn("_k", F.lit(1))), "_k").where("q <> vec_id")
-    found = scored.select("q", "vec_id", F.round(summarize.cosine(F.col("qe"), F.col("embedding")), 5).alias("score")).withColumn("rank", F.row_number().over(w).cast("bigint"))
-    return found.where("rank <= 10")
-
-
-def cosine_topk_whole(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return hybrid.cosine_neighbours(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")), e)
 
@@ -325,13 +285,12 @@ def summarize_fold(spark, sf):
     return summarize.summarize_books(d, chunk=400, overlap=40, window=200).select("bookid", "chapter_index", "chapter_title", "chunk_count", "summary")
 
 
-_Q = "WITH q AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'html' ELSE 'text' END AS queue_key, o_orderkey AS bookid, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'skipped' END AS status, o_orderkey % 5 AS attempts, o_orderpriority AS last_error FROM orders WHERE o_orderkey < 3000)"
-_Q_WHOLE = _Q.replace(" WHERE o_orderkey < 3000", "")
+_Q = "WITH q AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'html' ELSE 'text' END AS queue_key, o_orderkey AS bookid, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'skipped' END AS status, o_orderkey % 5 AS attempts, o_orderpriority AS last_error FROM orders)"
 _B = "WITH b AS (SELECT c_custkey AS bookid, c_name AS clean_content, c_mktsegment AS content_type, true AS has_images FROM customer), n AS (SELECT s_suppkey * 20 AS bookid, s_name AS clean_content FROM supplier)"
 _H = "WITH h AS (SELECT event_id AS id, user_id, event_id % 37 AS book_id, CASE WHEN event_type = 'view' THEN 'text' ELSE 'audio' END AS media_type, props, date_trunc('hour', ts) AS upd FROM events), l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY user_id, book_id ORDER BY upd DESC, id DESC) = 1)"
 _STOP = "['a','an','the','of','in','on','at','to','for','and','or','by','from','with','as','is','it','its','be','are','was']"
 
-QUERIES = {f.__name__: f for f in (best_source, ranked_candidates, link_repair_choice, audio_item, action_plan, file_plan, url_facts, shard_assignment, history_recent, history_last, resume_label, genre_json, queue_seed, queue_status, queue_pending, queue_transition, queue_seed_whole, queue_status_whole, queue_pending_whole, queue_transition_whole, upsert_replace, upsert_update, insert_ignore, replace_children, replace_children_whole, cascade_delete, strip_markup, page_links, image_refs, html_text, reading_model, char_chunks, token_windows, turn_blocks, chapter_split, distinct_chapters, short_chapters, clean_text, reclean_changed, stub_filter, markup_flag, marker_mismatch, marker_mismatch_whole, search_tokens, desc_accept, cosine_topk, cosine_topk_whole, lexical_ratio, quality_gate, story_so_far, summarize_fold)}
+QUERIES = {f.__name__: f for f in (best_source, ranked_candidates, link_repair_choice, audio_item, action_plan, file_plan, url_facts, shard_assignment, history_recent, history_last, resume_label, genre_json, queue_seed, queue_status, queue_pending, queue_transition, upsert_replace, upsert_update, insert_ignore, replace_children, cascade_delete, strip_markup, page_links, image_refs, html_text, reading_model, char_chunks, token_windows, turn_blocks, chapter_split, distinct_chapters, short_chapters, clean_text, reclean_changed, stub_filter, markup_flag, marker_mismatch, search_tokens, desc_accept, cosine_topk, lexical_ratio, quality_gate, story_so_far, summarize_fold)}
 
 ORACLE = {
     "best_source": _LINKS + "SELECT bookid, url, ['h-zip', 'html.images', 'epub3.images', 'epub.images'][r + 1] AS source_type FROM t WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bookid ORDER BY r, CASE WHEN contains(url, '/cache/epub/') THEN 0 WHEN contains(url, '/files/') THEN 1 WHEN contains(url, '/ebooks/') THEN 2 ELSE 3 END, length(url), url) = 1",
@@ -356,19 +315,14 @@ SELECT book_id, CASE WHEN x IS NULL THEN 'download' WHEN y IS NULL THEN 'local'
     "history_last": _H + "SELECT user_id, book_id, id FROM l QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY upd DESC, id DESC) = 1",
     "resume_label": "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'Chapter ' || ((props->>'$.k')::INT + 1) ELSE 'Track ' || ((props->>'$.k')::INT + 1) || ' · ' || (event_id % 5000 // 60) || ':' || lpad((event_id % 5000 % 60)::VARCHAR, 2, '0') END AS label FROM events",
     "genre_json": """SELECT * FROM (VALUES (-1::BIGINT, ''), (-2, 'Epic|Novel'), (-3, 'a|b'), (-4, 'plain'), (-5, '{bad')) v(event_id, genres) UNION ALL SELECT event_id, props->>'$.k' FROM events""",
-    "queue_seed": _Q + ", t AS (SELECT o_orderkey AS bookid FROM orders WHERE o_orderkey >= 2500 AND o_orderkey < 3500) SELECT queue_key, q.bookid, CASE WHEN r THEN 'pending' ELSE status END AS status, CASE WHEN r THEN 0 ELSE attempts END AS attempts, CASE WHEN r THEN NULL ELSE last_error END AS last_error FROM (SELECT q.*, queue_key = 'html' AND bookid IN (SELECT bookid FROM t) AND status NOT IN ('done', 'skipped') AS r FROM q) q UNION ALL SELECT 'html', bookid, 'pending', 0, NULL FROM t WHERE bookid NOT IN (SELECT bookid FROM q WHERE queue_key = 'html')",
+    "queue_seed": _Q + ", t AS (SELECT o_orderkey AS bookid FROM orders WHERE o_orderstatus <> 'F') SELECT queue_key, q.bookid, CASE WHEN r THEN 'pending' ELSE status END AS status, CASE WHEN r THEN 0 ELSE attempts END AS attempts, CASE WHEN r THEN NULL ELSE last_error END AS last_error FROM (SELECT q.*, queue_key = 'html' AND bookid IN (SELECT bookid FROM t) AND status NOT IN ('done', 'skipped') AS r FROM q) q UNION ALL SELECT 'html', bookid, 'pending', 0, NULL FROM t WHERE bookid NOT IN (SELECT bookid FROM q WHERE queue_key = 'html')",
     "queue_status": _Q + "SELECT queue_key, status, count(*) AS n FROM q GROUP BY 1, 2",
     "queue_pending": _Q + "SELECT bookid, attempts FROM q WHERE queue_key = 'html' AND status IN ('pending', 'failed') AND attempts < 3",
-    "queue_transition": _Q + "SELECT queue_key, bookid, CASE WHEN h THEN 'failed' ELSE status END AS status, attempts + h::BIGINT AS attempts, CASE WHEN h THEN repeat('e', 500) ELSE last_error END AS last_error FROM (SELECT *, queue_key = 'html' AND bookid % 4 = 0 AS h FROM q)",
-    "queue_seed_whole": _Q_WHOLE + ", t AS (SELECT o_orderkey AS bookid FROM orders WHERE o_orderstatus <> 'F') SELECT queue_key, q.bookid, CASE WHEN r THEN 'pending' ELSE status END AS status, CASE WHEN r THEN 0 ELSE attempts END AS attempts, CASE WHEN r THEN NULL ELSE last_error END AS last_error FROM (SELECT q.*, queue_key = 'html' AND bookid IN (SELECT bookid FROM t) AND status NOT IN ('done', 'skipped') AS r FROM q) q UNION ALL SELECT 'html', bookid, 'pending', 0, NULL FROM t WHERE bookid NOT IN (SELECT bookid FROM q WHERE queue_key = 'html')",
-    "queue_status_whole": _Q_WHOLE + "SELECT queue_key, status, count(*) AS n FROM q GROUP BY 1, 2",
-    "queue_pending_whole": _Q_WHOLE + "SELECT bookid, attempts FROM q WHERE queue_key = 'html' AND status IN ('pending', 'failed') AND attempts < 3",
-    "queue_transition_whole": _Q_WHOLE + "SELECT queue_key, bookid, CASE WHEN h THEN 'failed' ELSE status END AS status, attempts + h::BIGINT AS attempts, CASE WHEN h THEN repeat('e', 500) ELSE last_error END AS last_error FROM (SELECT *, queue_key = 'html' AND status = 'done' AS h FROM q)",
+    "queue_transition": _Q + "SELECT queue_key, bookid, CASE WHEN h THEN 'failed' ELSE status END AS status, attempts + h::BIGINT AS attempts, CASE WHEN h THEN repeat('e', 500) ELSE last_error END AS last_error FROM (SELECT *, queue_key = 'html' AND status = 'done' AS h FROM q)",
     "upsert_replace": _B + "SELECT * FROM b WHERE bookid NOT IN (SELECT bookid FROM n) UNION ALL SELECT bookid, clean_content, 'text', false FROM n",
     "upsert_update": _B + "SELECT b.bookid, coalesce(n.clean_content, b.clean_content) AS clean_content, content_type, has_images FROM b LEFT JOIN n USING (bookid) UNION ALL SELECT bookid, clean_content, NULL, NULL FROM n WHERE bookid NOT IN (SELECT bookid FROM b)",
     "insert_ignore": _B + "SELECT * FROM b UNION ALL SELECT bookid, clean_content, NULL, NULL FROM n WHERE bookid NOT IN (SELECT bookid FROM b)",
-    "replace_children": "WITH n AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 600) SELECT l_orderkey, l_linenumber::BIGINT AS n FROM lineitem WHERE l_orderkey < 500 AND l_orderkey NOT IN (SELECT k FROM n) UNION ALL SELECT k, -1 FROM n",
-    "replace_children_whole": "WITH n AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F') SELECT l_orderkey, l_linenumber::BIGINT AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM n) UNION ALL SELECT k, -1 FROM n",
+    "replace_children": "WITH n AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F') SELECT l_orderkey, l_linenumber::BIGINT AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM n) UNION ALL SELECT k, -1 FROM n",
     "cascade_delete": "WITH g AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'P') SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT k FROM g) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM g) UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey NOT IN (SELECT k FROM g)",
     "strip_markup": r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?[a-z][^>]{0,200}>', ' ', 'g'), '<\?xml[^>]*\?>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages",
     "page_links": "SELECT page_id, array_to_string(list_distinct_ordered, '|') AS links FROM (SELECT page_id, list(u ORDER BY i) AS list_distinct_ordered FROM (SELECT page_id, u, min(i) AS i FROM (SELECT page_id, unnest(x) AS u, unnest(range(len(x))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"''#]+)[\"'']', 1) AS x FROM pages)) GROUP BY 1, 2) GROUP BY page_id)",
@@ -381,8 +335,7 @@ SELECT doc_id, i, len(w[i * 80 + 1:i * 80 + 100]) AS n, array_to_string(w[i * 80
     "turn_blocks": "SELECT conv_id, block, string_agg(text, E'\\n' ORDER BY turn) AS text, count(*) AS n_rows FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM conversations) GROUP BY 1, 2",
     "stub_filter": "SELECT doc_id, length(t) >= 400 AND NOT regexp_matches(lower(t), 'do not download|obsolete format|alternative ids|redirect disabled') AND len(regexp_extract_all(t, '[A-Za-z0-9]{3,}')) >= 40 AS is_book FROM (SELECT doc_id, trim(coalesce(text, ''), E' \\t\\n\\x0B\\f\\r') AS t FROM documents)",
     "markup_flag": r"SELECT kind, id, regexp_matches(t, '(?i)<(html|head|body|div|p|span|table|style|script)\b') OR regexp_matches(t, '(?i)<\?xml|<!\[CDATA\[') OR len(regexp_extract_all(t, '(?i)</?[a-z][^>]{0,200}>')) >= 10 AS is_markup FROM (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'p', page_id, coalesce(html, '') FROM pages)",
-    "marker_mismatch": "SELECT * FROM (VALUES (1::BIGINT, 98::BIGINT, false), (2, 99, true), (3, NULL, false), (4, NULL, false), (5, 7, false), (6, NULL, false), (7, 12, true)) v(id, found, mismatch)",
-    "marker_mismatch_whole": "SELECT doc_id AS id, doc_id % 50 AS found, doc_id % 50 <> doc_id % 75 AS mismatch FROM documents",
+    "marker_mismatch": "SELECT * FROM (VALUES (-1::BIGINT, 98::BIGINT, false), (-2, 99, true), (-3, NULL, false), (-4, NULL, false), (-5, 7, false), (-6, NULL, false), (-7, 12, true)) v(id, found, mismatch) UNION ALL SELECT doc_id AS id, doc_id % 50 AS found, doc_id % 50 <> doc_id % 75 AS mismatch FROM documents",
     "search_tokens": rf"""
 WITH c(id, q) AS (VALUES (-1, 'The Tale of 2 Cities'), (-2, 'a'), (-3, '!'), (-4, 'of the'), (-5, 'foo_bar foo_bar x'), (-6, 'Été à Paris') UNION ALL SELECT conv_id * 100 + turn, text FROM conversations),
 w AS (SELECT id, list_filter(string_split_regex(lower(trim(q)), '[^\p{{L}}\p{{N}}_]+'), lambda t: len(t) >= 2) AS w FROM c),
@@ -390,8 +343,7 @@ k AS (SELECT id, list(t ORDER BY i) AS w FROM (SELECT id, t, min(i) AS i FROM (S
 f AS (SELECT id, w, list_filter(w, lambda t: NOT list_contains({_STOP}, t)) AS u FROM k)
 SELECT w.id::BIGINT AS id, coalesce(array_to_string(CASE WHEN len(u) > 0 THEN u ELSE f.w END, ' '), '') AS tokens FROM w LEFT JOIN f USING (id)""",
     "desc_accept": "SELECT p_partkey AS id, p_partkey % 3 = 0 AND p_type = 'ECONOMY' AS accepted FROM part",
-    "cosine_topk": "SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 5 QUALIFY rank <= 10",
-    "cosine_topk_whole": "SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10",
+    "cosine_topk": "SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10",
     "quality_gate": "SELECT doc_id, CASE WHEN quality <> 0 AND toxic IS NOT NULL THEN (doc_id % 100) / 100.0::DOUBLE >= 0.6 AND ((n_chars % 100) / 100.0::DOUBLE >= 0.35 OR (doc_id % 7) / 7.0::DOUBLE < 0.5) END AS passed FROM documents JOIN labels USING (doc_id)",
     "story_so_far": r"SELECT conv_id, turn, array_to_string(list(regexp_extract(text, '^[^.\n]*')) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), ' / ') AS story FROM conversations",
 }

@@ -62,8 +62,10 @@ def star_schema(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def summary_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a tab-separated file of summaries; rows with fewer than seven fields are left out."""
-    return spark.read.csv(path, sep="\t", schema=SUMMARY_ROW, quote="", mode="PERMISSIVE").where("summary is not null")
+    """Rows of a tab-separated file of summaries; rows with fewer than seven fields are left out, empty fields are kept."""
+    fields = F.split("value", "\t", -1)
+    names = [c.split()[0] for c in SUMMARY_ROW.split(", ")]
+    return spark.read.text(path).where(F.size(fields) >= len(names)).select(*[fields[i].alias(n) for i, n in enumerate(names)])
 
 
 def tar_members(files: DataFrame) -> DataFrame:
@@ -83,18 +85,26 @@ def tar_members(files: DataFrame) -> DataFrame:
 
 
 def id_list(spark: SparkSession, path: str, column: str = "bookid", pattern: str | None = None, limit: int | None = None) -> DataFrame:
-    """Distinct ids of a CSV file with a header, by an optional pattern, smallest first."""
+    """Distinct ids of a CSV file with a header, by an optional pattern; with a limit the first ones of the file."""
     rows = spark.read.csv(path, header=True)
     rows = rows.where(F.col(column).rlike(pattern)) if pattern else rows
-    out = rows.select(F.col(column).try_cast("bigint").alias(column)).where(F.col(column).isNotNull()).distinct()
-    return out.orderBy(column).limit(limit) if limit else out
+    return _first_of_file(rows.select(F.col(column).try_cast("bigint").alias(column)), column, limit).select(column)
+
+
+def _first_of_file(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """The first row of each key that isn't null; with a limit the keys that the file names first, shown by key."""
+    placed = rows.where(F.col(key).isNotNull()).withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+    first = placed.groupBy(key).agg(F.min(F.struct("_file", "_at", *[c for c in rows.columns if c != key])).alias("_f"))
+    first = first.orderBy("_f._file", "_f._at").limit(limit) if limit else first
+    out = first.select(key, *[F.col("_f")[c].alias(c) for c in rows.columns if c != key])
+    return out.orderBy(key) if limit else out
 
 
 def bar_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """bookid, gutenbergbookid and title of a bar-separated file without header; titles may hold bars."""
     parts = F.split("value", r"\|", 3)
-    out = spark.read.text(path).select(parts[0].try_cast("bigint").alias("bookid"), F.get(parts, 1).try_cast("bigint").alias("gutenbergbookid"), F.trim(F.get(parts, 2)).alias("title")).where("bookid is not null")
-    return out.orderBy("bookid").limit(limit) if limit else out
+    out = spark.read.text(path).select(parts[0].try_cast("bigint").alias("bookid"), F.get(parts, 1).try_cast("bigint").alias("gutenbergbookid"), F.trim(F.get(parts, 2)).alias("title"))
+    return _first_of_file(out, "bookid", limit)
 
 
 def dataset_texts(rows: DataFrame) -> DataFrame:
@@ -110,7 +120,7 @@ def listing_links(pages: DataFrame) -> DataFrame:
 
     rel = pages.select("base", F.explode(page_links(F.col("html"))).alias("href")).where("href not like '?%' and href not like '..%' and href not like '/'")
     url = F.when(F.col("href").rlike("^[a-z]+://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(F.regexp_extract("base", r"^([a-z]+://[^/]+)", 1), "href")).otherwise(F.concat("base", "href"))
-    return rel.select("base", url.alias("url")).distinct().withColumn("kind", U.media_type(F.col("url"))).where("kind is not null")
+    return rel.select("base", url.alias("url")).distinct().where(U.is_live_content(F.col("url"))).withColumn("kind", F.coalesce(U.media_type(F.col("url")), U.audio_type(F.col("url"))))
 
 
 def listed_ids(paths: DataFrame, column: str = "path") -> DataFrame:
@@ -172,8 +182,8 @@ def main_page(names: list[str]) -> str | None:
     return pages[0] if pages else None
 
 
-def bytes_to_text(raw: bytes, name: str = "", kind: str = "") -> str:
-    """Text of a file by its media type, suffix or first bytes. PDF needs a reader that is not part of this package: it gives an empty text."""
+def bytes_to_text(raw: bytes, name: str = "", kind: str = "") -> str | None:
+    """Text of a file by its media type, suffix or first bytes. PDF needs a reader that is not part of this package, so it has none: None, as is an empty text."""
     from ..operators.texts import html_to_text
 
     low = name.lower()
@@ -182,7 +192,7 @@ def bytes_to_text(raw: bytes, name: str = "", kind: str = "") -> str:
             inner = spine_documents(archive) or sorted(n for n in archive.namelist() if n.lower().endswith((".txt", ".xml", ".tex", ".tei")))
             return "\n\n".join(t for n in inner if (t := bytes_to_text(archive.read(n), n)))
     if raw[:5] == b"%PDF-" or "pdf" in kind:
-        return ""
+        return None
     if "html" in kind or low.endswith((".html", ".htm", ".xhtml")) or re.match(rb"\s*(?:<!doctype html|<html)", raw[:200], re.I):
         return html_to_text(decode_bytes(raw))
     if "tei" in kind or low.endswith((".xml", ".tei")) or raw[:5] == b"<?xml":

@@ -9,8 +9,20 @@ from ..operators.texts import clean
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """A table's next snapshot; readers see the old or the new one."""
-    df.write.mode("overwrite").parquet(path)
+    """A table's next snapshot, written beside the old one, which it then replaces: ``df`` may read from ``path``."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new, gone = (hadoop.Path(path.rstrip("/") + suffix) for suffix in ("", ".next", ".previous"))
+    df.write.mode("overwrite").parquet(new.toString())
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(gone, True)
+    if fs.exists(old):
+        fs.rename(old, gone)
+    if not fs.rename(new, old):
+        fs.rename(gone, old)
+        raise OSError(f"the snapshot {path} could not be replaced")
+    fs.delete(gone, True)
+    spark.catalog.refreshByPath(path)
 
 
 def description_json(desc: DataFrame, subjects: DataFrame) -> DataFrame:

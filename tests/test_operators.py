@@ -319,3 +319,62 @@ def test_schemas_and_selectors(spark):
     audio = spark.createDataFrame([], "book_id bigint")
     assert [r.id for r in links.audio_gaps(books, audio).collect()] == [2, 1]
     assert summarize.profile_prompt("T", "A", "analytical", "x").startswith("Describe the claims") and "dramatic" in summarize.category_prompt("T", "s")
+
+
+def test_contents_lists_keep_what_stands_before():
+    listed = [f"Chapter {i}" for i in range(1, 10)]
+    body = [x for i in range(1, 10) for x in (f"Chapter {i}", *["text"] * 12)]
+    text = "\n".join(["The Title", "Preface by the author.", "Contents", *listed, *body])
+    assert texts.strip_prefixed_contents(text) == "\n".join(["The Title", "Preface by the author.", *body])
+    late = "\n".join(["word " * 30] * 200 + ["Contents", *listed, *body])  # the mark stands beyond 4,000 characters
+    assert texts.strip_prefixed_contents(late) == "\n".join(["word " * 30] * 200 + body).strip()
+    page = ["Title", "Contents.", "  Page", *[f"Topic {i}    {i}" for i in range(1, 5)], "A long topic that", "", "goes on    17", *[f"Topic {i}    {i}" for i in range(20, 24)]]
+    prose = ["Here the prose begins.", "It goes on.", "See table    12", *["More prose."] * 9]
+    assert texts.strip_contents_page("\n".join([*page, "", *prose])) == "\n".join(["Title", *prose])
+
+
+def test_nothing_is_cut_from_summaries():
+    from quire.operators import summarize
+
+    longer = lambda prompts: [p.split("\n\n", 1)[-1] + " and so on" for p in prompts]
+    parts = [" ".join(f"w{i}" for i in range(k, k + 30)) for k in (0, 30, 60)]
+    found = summarize.reduced("x", parts, longer, window=20)
+    assert set(" ".join(parts).split()) <= set(found.split())
+    never = lambda prompts: 1 / 0
+    assert summarize.reduced("x", ["only one"], never) == "only one" and summarize.reduced("x", ["", " "], never) == ""
+    out = summarize.fold("t", [("I", "three short words"), ("II", "")], summarize.lead())
+    assert out[0][3] == "three short words" and out[1][3] == ""
+    assert summarize.fold("t", [("I", "three short words")], summarize.lead(), least=summarize.LEAST_CHUNK_WORDS)[0][3] == ""
+
+
+def test_tidy_formulas(spark):
+    from quire.operators import summarize
+
+    cases = {"a  b @xmath1 c!!!!": "a b c!", "x &=& y": "x = y", "so nabla f holds. Then": "so \\(\\nabla f holds\\). Then", "plain [[text]] here": "plain [ text] here", "a\nb": "a b"}
+    rows = spark.createDataFrame(list(cases.items()), "x string, y string").select("y", summarize.normalized_summary(F.col("x")).alias("z")).collect()
+    assert [r.z for r in rows] == [r.y for r in rows]
+
+
+def test_live_content(spark):
+    from quire.functions import urls
+
+    cases = {"https://x.org/files/1/1-0.txt?a": True, "https://x.org/readme_warning.txt": False, "https://x.org/1/a.nfo": False, "https://x.org/1/1.rdf": False, "https://x.org/1/": False, "https://x.org/1/a-MP3.zip": True, "https://x.org/1/b.XYZ": False, "https://x.org/1/1-H.HTM": True}
+    rows = spark.createDataFrame(list(cases.items()), "u string, ok boolean").select("ok", urls.is_live_content(F.col("u")).alias("found"), urls.is_synthesized(F.lit("/files/1/1-M/1.mp3")).alias("s")).collect()
+    assert all(r.ok == r.found and r.s for r in rows)
+
+
+def test_positions(spark):
+    from quire.operators import ordinals
+
+    rows = spark.createDataFrame([(i * 7 % 1000, "x") for i in range(1000)] + [(None, "n")], "id bigint, position string")
+    found = sorted((r.position, r.id if r.id is not None else -1) for r in ordinals.with_position(rows.select("id"), "id", "position").collect())
+    assert found == [(i, i - 1) for i in range(1001)]
+
+
+def test_snapshot_of_itself(spark, tmp_path):
+    from quire.sources import sinks
+
+    path = str(tmp_path / "snapshot")
+    sinks.write_snapshot(spark.range(5), path)
+    sinks.write_snapshot(spark.read.parquet(path).where("id > 2"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4]
