@@ -48,23 +48,27 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
     ``chosen`` and ``rejected`` are arrays of (role, text). Null arrays are empty conversations; where one is a prefix of
     the other its completion is empty, with an empty mask. Texts are rendered as they are: lengths, not markers, tell
-    where a turn ends. Other columns pass through, but for those with the names above.
+    where a turn ends. Other columns pass through, but for those with the names above. A conversation is one value of
+    its row, however long; rows that repeat are formatted each; an empty table gives no rows.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
     own = ("prompt", "prompt_turns", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")
     a, b = (F.coalesce(F.transform(F.col(c), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), empty) for c in (chosen, rejected))
     keep = [c for c in pairs.columns if c not in (*own, chosen, rejected)]
-    split = pairs.select(*keep, a.alias("_a"), b.alias("_b")).withColumn("_n", common_prefix(F.col("_a"), F.col("_b")))
+    # the other columns travel as one, so that their names meet none of these
+    others = (F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)).alias("_row")
+    split = pairs.select(others, a.alias("_a"), b.alias("_b")).withColumn("_n", common_prefix(F.col("_a"), F.col("_b")))
     tail = lambda c: F.slice(c, F.col("_n") + 1, F.greatest(F.size(c) - F.col("_n"), F.lit(0)))
-    cut = split.select(*keep, F.col("_n").alias("prompt_turns"), F.slice("_a", 1, F.col("_n")).alias("_p"), tail("_a").alias("_c"), tail("_b").alias("_r"))
-    return cut.select(*keep, rendered(F.col("_p")).alias("prompt"), "prompt_turns", rendered(F.col("_c")).alias("chosen_text"), learnt_spans(F.col("_c")).alias("chosen_mask"), rendered(F.col("_r")).alias("rejected_text"), learnt_spans(F.col("_r")).alias("rejected_mask"))
+    cut = split.select("_row", F.col("_n").alias("prompt_turns"), F.slice("_a", 1, F.col("_n")).alias("_p"), tail("_a").alias("_c"), tail("_b").alias("_r"))
+    return cut.select(*[F.col("_row")[c].alias(c) for c in keep], rendered(F.col("_p")).alias("prompt"), "prompt_turns", rendered(F.col("_c")).alias("chosen_text"), learnt_spans(F.col("_c")).alias("chosen_mask"), rendered(F.col("_r")).alias("rejected_text"), learnt_spans(F.col("_r")).alias("rejected_mask"))
 
 
 def conversations_of(turns: DataFrame) -> DataFrame:
     """conv_id and turns (array of role and text by turn number) of a table with a row for each turn.
 
     Rows without a conv_id are a conversation each, so they never meet in one group; a conversation is one value of the
-    result, as long as its turns. Equal turn numbers are ordered by role and text.
+    result, as long as its turns, and must fit a task. Equal turn numbers are ordered by role and text, repeated rows
+    are turns each, other columns play no part, an empty table gives no rows.
     """
     rows = turns.select(F.col("conv_id").alias("conv_id"), F.struct("turn", "role", "text").alias("_t"))
     grouped = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("_t")).alias("_t"))
@@ -76,7 +80,8 @@ def stale_reply_pairs(conversations: DataFrame) -> DataFrame:
     """conv_id, chosen and rejected: a conversation up to its last reply, and the same with a stale reply there.
 
     The rejected reply is the assistant's one before, or an empty one if there is none. Turns after the last reply are
-    left out of both; without any reply both are the whole conversation, and completions are empty.
+    left out of both; without any reply both are the whole conversation, and completions are empty. Null texts and
+    roles are turns like others, null and repeated ids pass through, an empty table gives no rows.
     """
     place = F.transform(F.col("turns"), lambda t, i: F.when(t["role"] == LEARNT_ROLE, i))
     replies = F.filter(place, lambda i: i.isNotNull())
@@ -99,18 +104,16 @@ def op9_preference_format(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id),
 r AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant') AS places FROM c),
-s AS (
-  SELECT conv_id, t, len(places) AS k, places[len(places)] AS z, CASE WHEN len(places) > 1 THEN t[places[len(places) - 1]].text ELSE '' END AS stale FROM r),
+s AS (SELECT conv_id, t, len(places) AS k, places[len(places)] AS z, CASE WHEN len(places) > 1 THEN t[places[len(places) - 1]].text ELSE '' END AS stale FROM r),
+p AS (SELECT conv_id, CASE WHEN k = 0 THEN t ELSE t[1:z] END AS a, CASE WHEN k = 0 THEN t ELSE list_append(t[1:z - 1], {'role': 'assistant', 'text': stale}) END AS b FROM s),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: i > len(a) OR i > len(b) OR a[i].role IS DISTINCT FROM b[i].role OR a[i].text IS DISTINCT FROM b[i].text)) - 1, len(a)) AS n FROM p),
 w AS (
-  SELECT *, k > 0 AND t[z].text = stale AS same,
-         list_transform(t, lambda x: '<|turn|>' || coalesce(x.role, '') || E'\n' || coalesce(x.text, '') || E'<|end|>\n') AS u FROM s),
-p AS (SELECT *, CASE WHEN k = 0 THEN len(t) WHEN same THEN z ELSE z - 1 END AS n FROM w)
-SELECT conv_id, coalesce(array_to_string(u[1:n], ''), '') AS prompt, n::BIGINT AS prompt_turns,
-       CASE WHEN k = 0 OR same THEN '' ELSE u[z] END AS chosen_text,
-       CASE WHEN k = 0 OR same THEN '' ELSE '18-' || (26 + length(t[z].text)) END AS chosen_mask,
-       CASE WHEN k = 0 OR same THEN '' ELSE '<|turn|>assistant' || E'\n' || stale || E'<|end|>\n' END AS rejected_text,
-       CASE WHEN k = 0 OR same THEN '' ELSE '18-' || (26 + length(stale)) END AS rejected_mask
-FROM p
+  SELECT *, list_transform(a, lambda x: '<|turn|>' || coalesce(x.role, '') || E'\n' || coalesce(x.text, '') || E'<|end|>\n') AS u,
+         list_transform(b, lambda x: '<|turn|>' || coalesce(x.role, '') || E'\n' || coalesce(x.text, '') || E'<|end|>\n') AS v FROM n)
+SELECT conv_id, coalesce(array_to_string(u[1:n], ''), '') AS prompt, n::BIGINT AS prompt_turns, coalesce(array_to_string(u[n + 1:], ''), '') AS chosen_text,
+       CASE WHEN n < len(a) THEN '18-' || (26 + length(a[n + 1].text)) ELSE '' END AS chosen_mask, coalesce(array_to_string(v[n + 1:], ''), '') AS rejected_text,
+       CASE WHEN n < len(b) THEN '18-' || (26 + length(b[n + 1].text)) ELSE '' END AS rejected_mask
+FROM w
 """
 
 QUERIES = {"op9_preference_format": op9_preference_format}

@@ -61,14 +61,14 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), seed: str
     and taken (these names win over columns of the input). ``taken`` is whole epochs times size, plus what the budget's
     rest still covers in key order; the last document is cut at the exact word.
 
-    Null text has size 0; null source is a source; rows with one doc_id share a key and are ordered by size, so
-    repeated rows give the same multiset of results in every run; an empty table gives no rows.
+    Null text has size 0; null source is a source; rows with one doc_id share a key and are ordered by size, then by a
+    hash of the text, so reruns cut the same rows; other columns pass through; an empty table gives no rows.
     """
     own = ("source", "size", "source_size", "target", "taken")
     keep = [c for c in carry if c not in own]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     sized = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("source").alias("source"), size_of(F.col("text")).alias("size"), key.alias("_key")
+        F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("source").alias("source"), size_of(F.col("text")).alias("size"), key.alias("_key"), F.xxhash64("text").alias("_tie")
     ).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
     if keep == ["doc_id"]:
         sized = written(sized, "mix-sized")
@@ -78,7 +78,7 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), seed: str
     starts = ranges.withColumn("_start", F.coalesce(F.sum("_words").over(before), F.lit(0)))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
     starts = starts.join(t, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_start", "source_size", "target")
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_range").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     summed = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     starts = starts.withColumn("_budget", F.round("target").cast("long"))
     joined = summed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))

@@ -13,6 +13,7 @@ Zipf-Mandelbrot law. Scores are kept in units of 1/1024, so sums are exact and t
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,14 @@ class Pieces:
     text_bytes: np.ndarray
     whole_stretches: bool
 
+    @functools.cached_property
+    def plain(self) -> tuple[list[int], list[int], list[int], list[int]]:
+        """The trie and the scores as lists, which loops over single bytes read faster."""
+        return self.base.tolist(), self.check.tolist(), self.piece.tolist(), self.score.tolist()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "plain"}
+
 
 def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """base, check and value arrays of a trie over bytes: state t is the child of s by byte c if t = base[s] + c + 1 and check[t] = s."""
@@ -101,22 +110,33 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def load(path: str = MODEL) -> Pieces:
-    """Reads a SentencePiece model file."""
+    """Reads a SentencePiece model file.
+
+    Pieces that the user defined win over all others that cover the same characters. Texts are encoded as they are, with
+    one marker in front, so a model that would change them first (rules of characters, runs of white space taken
+    together, no marker in front) is refused.
+    """
     from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as file:
         model.ParseFromString(file.read())
+    rules = model.normalizer_spec
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces:
+        raise ValueError(f"the model {path} changes texts before it encodes them, which is not supported")
     kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
     n = len(model.pieces)
     scores = np.array([p.score for p in model.pieces], dtype=np.float64)
-    normal = np.array([p.type in (kinds.NORMAL, kinds.USER_DEFINED) for p in model.pieces])
+    normal = np.array([p.type == kinds.NORMAL for p in model.pieces])
     if model.trainer_spec.model_type != sentencepiece_model_pb2.TrainerSpec.UNIGRAM:
         rank = np.empty(n)
         rank[np.argsort(-np.where(normal, scores, -np.inf), kind="stable")] = np.arange(1, n + 1)
         p = 1 / (rank + ZIPF_SHIFT)
         scores = np.log(p / p[normal].sum())
     units = np.round(scores * UNIT).astype(np.int64)
+    for i, p in enumerate(model.pieces):
+        if p.type == kinds.USER_DEFINED:
+            units[i] = len(p.piece) * int(units[normal].max()) - UNIT // 10
     keys, texts, byte_id, is_byte = {}, [], np.full(256, -1, np.int32), np.zeros(n, bool)
     for i, p in enumerate(model.pieces):
         raw = p.piece.encode()
@@ -146,25 +166,26 @@ def char_length(lead: np.ndarray) -> np.ndarray:
 
 def solve_one(p: Pieces, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and pieces (-1: bytes) of the best path of one stretch."""
-    base, check, piece, score = p.base, p.check, p.piece, p.score
+    base, check, piece, score = p.plain
     n = len(raw)
     low = -(1 << 62)
     best, back, what = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
     best[0] = 0
     s = 0
     while s < n:
-        width = min(int(char_length(np.array(raw[s]))), n - s)
+        lead = raw[s]
+        width = min(1 if lead < 0xC0 or lead >= 0xF8 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4, n - s)
         state, single, e = 0, False, s
         while e < n:
-            t = int(base[state]) + raw[e] + 1
+            t = base[state] + raw[e] + 1
             if check[t] != state:
                 break
             state, e = t, e + 1
             if piece[t] >= 0:
-                value = best[s] + int(score[piece[t]])
+                value = best[s] + score[piece[t]]
                 single |= e - s == width
                 if value > best[e]:
-                    best[e], back[e], what[e] = value, s, int(piece[t])
+                    best[e], back[e], what[e] = value, s, piece[t]
         if not single and best[s] + p.unknown > best[s + width]:
             best[s + width], back[s + width], what[s + width] = best[s] + p.unknown, s, -1
         s += width
@@ -335,7 +356,11 @@ def encode_texts(docs: DataFrame, path: str = MODEL, text: str = "text", key: st
 
 
 def decode_pieces(rows: DataFrame, path: str = MODEL, pieces: str = "pieces", key: str = "doc_id") -> DataFrame:
-    """key and text of each row of piece ids; null gives null. Bytes that are no UTF-8 are replaced."""
+    """key and text of each row of piece ids.
+
+    Null gives null, no pieces an empty text, bytes that are no UTF-8 are replaced. Keys may be null or repeated, other
+    columns play no part, an empty table gives no rows.
+    """
     small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(load(path))
 

@@ -322,8 +322,8 @@ def remove_repeats(docs: DataFrame, keep: str = "none", hot: int = HOT) -> DataF
     dropped(again)
     at = F.struct("first_id", "k1", "k2", "place")
     kinds = written(marks.groupBy("gram", "around").agg(F.min(at).alias("one"), F.max(at).alias("last")), "repeats-surroundings")
-    sizes = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    open_kinds = kinds.join(sizes.where("kinds > 1"), "gram").select("gram", "around", "kinds", "one.*")
+    sizes = written(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "repeats-open")
+    open_kinds = kinds.join(sizes, "gram").select("gram", "around", "kinds", "one.*")
     asked = open_kinds.groupBy(key).agg(F.collect_list(F.struct("place", "gram", "around", "first_id", "kinds")).alias("at"))
     texts = long_ones.groupBy(key).agg(F.first("text").alias("text"))
     held = written(texts.join(asked, key).select("k1", "k2", "text", "at"), "repeats-texts")
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, keep: str = "none", hot: int = HOT) -> DataF
     cuts = cut.select(*key, F.struct((F.col("place") - lo).alias("from"), (F.col("place") + hi).alias("to")).alias("cut")).groupBy(key).agg(F.collect_set("cut").alias("cuts"))
     copies = long_ones.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), early).where("copies > 1")
     known = written(cuts.join(copies, key, "full").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "cuts", "copies", "first_id"), "repeats-cuts")
-    for table in (marks, kinds, spans, cover):
+    for table in (marks, kinds, sizes, spans, cover):
         dropped(table)
     same = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2"))
     if keep == "first":

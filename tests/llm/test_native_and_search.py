@@ -158,6 +158,15 @@ def test_conversations(spark):
 
 
 
+def test_stage_keeps_columns(spark):
+    rows = [(i, "Shared\nown %d" % i, 77, "mine", 5) for i in range(12)] + [(99, None, 78, "m", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, kept_text string, n_chars long")
+    found = ld.documents_without_repeats(frame)
+    assert found.columns == frame.columns
+    assert sorted(map(tuple, found.collect())) == sorted([(i, "own %d" % i, 77, "mine", len("own %d" % i)) for i in range(12)] + [(99, None, 78, "m", 6)], key=lambda r: r[0])
+    assert ld.documents_without_repeats(frame.drop("n_chars")).count() == 13 and ld.documents_without_repeats(frame.limit(0)).count() == 0
+
+
 # Written tables
 
 

@@ -35,3 +35,18 @@ def test_limits(spark, percent):
 
 def test_banding():
     assert nd.banding(85) == (5, 25) and nd.banding(80) == (4, 32)
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", "p", 7, "k"), (2, "a b c d e f", "q", 8, "l"), (None, "a b c d e f", "r", 9, "m")], "doc_id long, text string, _d string, kept_id long, kept string")
+    found = nd.without_near_duplicates(rows)
+    assert found.columns == rows.columns
+    assert sorted((r.doc_id or 0, r._d, r.kept_id, r.kept) for r in found.collect()) == [(0, "r", 9, "m"), (1, "p", 7, "k")]
+
+
+def test_texts_in_stretches(monkeypatch):
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 30))) for _ in range(3000)).encode() + b"\t" + b"x" * 5000 + b" end of it"
+    whole = nd.shingle_sets([text, b"a b", text])
+    monkeypatch.setattr(nd, "CHUNK", 1000)
+    assert [s.tolist() for s in nd.shingle_sets([text, b"a b", text])] == [s.tolist() for s in whole]

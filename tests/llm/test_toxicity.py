@@ -89,3 +89,42 @@ def test_sample_ignores_held_out_rows(spark):
     flipped = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 4 == tx.HELD_OUT else y) for i, _, y in rows], "doc_id long, toxic int")
     a, b = tx.fit(docs, labels), tx.fit(docs, flipped)
     assert np.array_equal(a.table, b.table) and (a.slope, a.offset) == (b.slope, b.offset)
+
+
+def test_query_by_brute_force(spark, sf):
+    """op5_toxicity against a machine that is trained here from the rows that may teach it, text by text; and what it misses."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == tx.HELD_OUT
+    known = sorted(i for i in labels if not held(i))
+    taught = [i for i in known if i in docs and len((docs[i] or "").encode()) <= tx.TRAIN_BYTES]
+    machine = tx.train([(docs[i] or "").encode() for i in taught], np.array([labels[i] for i in taught]), sum(labels[i] for i in known) / len(known))
+    found = {r.doc_id: r for r in tx.op5_toxicity(spark, sf).collect()}
+    assert set(found) == set(docs)
+    for i, text in docs.items():
+        score = machine.scores([(text or "").encode()])[0]
+        assert abs(found[i].score - score) < 1e-9
+        assert found[i].held_out == held(i) and found[i].predicted == (found[i].score >= tx.THRESHOLD)
+
+
+def test_held_out_accuracy_of_the_test_data(spark):
+    """On the largest test table: the smaller ones have no more than 14 toxic texts that training never saw."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.score, labels[r.doc_id]) for r in tx.op5_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    bad, good = [s for s, y in rows if y], [s for s, y in rows if not y]
+    area = sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good))
+    caught, wrong = sum(s >= tx.THRESHOLD for s in bad), sum(s >= tx.THRESHOLD for s in good)
+    print(f"held out: {len(rows)} texts, {len(bad)} toxic, area {area:.3f}, precision {caught / (caught + wrong):.3f}, recall {caught / len(bad):.3f}")
+    assert area > 0.9
+
+
+def test_long_texts_and_clashing_names(spark, machine):
+    text = "tala mina " * 60_000 + "snargle" + " tala mina" * 40_000
+    assert machine.scores([text.encode()])[0] >= tx.THRESHOLD > machine.scores([("tala mina " * 100_000).encode()])[0]
+    rows = list(corpus(60))
+    docs = spark.createDataFrame([(i, t, "z", t, "w") for i, t, _ in rows], "doc_id long, text string, _toxicity string, _text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    kept = tx.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert all(r._toxicity == "z" and r._text == r.text and r.score == "w" for r in kept.collect())
