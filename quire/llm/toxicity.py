@@ -199,6 +199,11 @@ class Machine:
     def __init__(self, table: np.ndarray, intercept: float, slope: float, offset: float) -> None:
         self.table, self.intercept, self.slope, self.offset = table, intercept, slope, offset
 
+    @property
+    def has_learnt(self) -> bool:
+        """Whether it tells texts apart; one without labels of both classes gives all the same score."""
+        return bool(self.table.any())
+
     def values(self, texts: list[bytes]) -> np.ndarray:
         """The largest value of a word of each text; without words -1."""
         out, at = [np.zeros(0)], 0
@@ -353,9 +358,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """``docs`` without the texts that score ``threshold`` or more.
 
     All columns stay, whatever their names; the texts travel with their rows, so no join is needed. Null and empty texts
-    stay, rows with null or repeated ids are judged by their own text, an empty table gives no rows.
+    stay, rows with null or repeated ids are judged by their own text, an empty table gives no rows. Where the labels
+    teach nothing, all rows stay.
     """
     machine = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    if not machine.has_learnt:
+        return docs
     return _scored(docs, machine, docs.columns).where(F.col("score") < threshold).select("row.*")
 
 
