@@ -290,6 +290,22 @@ _B = "WITH b AS (SELECT c_custkey AS bookid, c_name AS clean_content, c_mktsegme
 _H = "WITH h AS (SELECT event_id AS id, user_id, event_id % 37 AS book_id, CASE WHEN event_type = 'view' THEN 'text' ELSE 'audio' END AS media_type, props, date_trunc('hour', ts) AS upd FROM events), l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY user_id, book_id ORDER BY upd DESC, id DESC) = 1)"
 _STOP = "['a','an','the','of','in','on','at','to','for','and','or','by','from','with','as','is','it','its','be','are','was']"
 
+_STRIP = "E' \\t\\n\\x0B\\f\\r'"
+
+
+def _chapters_sql(heading: str, front: str) -> str:
+    """CTE c: bookid, k (0: what stands before the first heading), title and text of the chapters that the lines make."""
+    own = ", ".join(f"({k}::BIGINT, {t})" for k, t in ((-1, f"'{_BOOK}'"), (-2, "E'CHAPTER I\\nOnly.\\n\\nCHAPTER II\\nAlso.'"), (-3, "NULL"), (-4, "'no headings at all'")))
+    return f"""WITH b(bookid, text) AS (VALUES {own} UNION ALL SELECT doc_id, text FROM documents),
+s AS (SELECT bookid, string_split(replace(text, E'\\r\\n', E'\\n'), E'\\n') AS x FROM b WHERE text IS NOT NULL),
+l AS (SELECT bookid, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM s),
+h AS (SELECT *, length(trim(line, {_STRIP})) <= {texts.HEADING_CHARS} AND regexp_matches(line, '(?i){heading}') AS head FROM l),
+g AS (SELECT *, sum(head::INT) OVER (PARTITION BY bookid ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM h),
+t AS (SELECT bookid, k, max(trim(line, {_STRIP})) FILTER (WHERE head) AS title, trim(string_agg(line, E'\\n' ORDER BY i), {_STRIP}) AS text, count(*) OVER (PARTITION BY bookid) AS parts FROM g GROUP BY bookid, k),
+c AS (SELECT bookid, k, CASE WHEN k > 0 THEN title WHEN parts = 1 THEN 'Full Text' ELSE '{front}' END AS title, text FROM t WHERE text <> '')
+"""
+
+
 QUERIES = {f.__name__: f for f in (best_source, ranked_candidates, link_repair_choice, audio_item, action_plan, file_plan, url_facts, shard_assignment, history_recent, history_last, resume_label, genre_json, queue_seed, queue_status, queue_pending, queue_transition, upsert_replace, upsert_update, insert_ignore, replace_children, cascade_delete, strip_markup, page_links, image_refs, html_text, reading_model, char_chunks, token_windows, turn_blocks, chapter_split, distinct_chapters, short_chapters, clean_text, reclean_changed, stub_filter, markup_flag, marker_mismatch, search_tokens, desc_accept, cosine_topk, lexical_ratio, quality_gate, story_so_far, summarize_fold)}
 
 ORACLE = {
@@ -333,6 +349,9 @@ WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(trim(text)), '[^\
 n AS (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 100 THEN [0] ELSE range((len(w) + 79) // 80) END) AS i FROM t)
 SELECT doc_id, i, len(w[i * 80 + 1:i * 80 + 100]) AS n, array_to_string(w[i * 80 + 1:i * 80 + 100], ' ') AS words FROM n""",
     "turn_blocks": "SELECT conv_id, block, string_agg(text, E'\\n' ORDER BY turn) AS text, count(*) AS n_rows FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM conversations) GROUP BY 1, 2",
+    "chapter_split": _chapters_sql(texts.HEADING, "Introduction") + "SELECT bookid, (row_number() OVER (PARTITION BY bookid ORDER BY k))::INTEGER AS chapter_index, title, length(text)::INTEGER AS chars FROM c",
+    "short_chapters": _chapters_sql(texts.REPAIR_HEADING, "Front Matter") + """, n AS (SELECT bookid, len(list_filter(string_split(text, E'\\n'), lambda x: trim(x) <> '')) AS n FROM c WHERE title NOT IN ('Front Matter', 'Full Text'))
+SELECT b.bookid, count(n)::INTEGER AS n_chapters, count(n) >= 2 AND coalesce(bool_and(n < 5), true) AS is_short FROM b LEFT JOIN n USING (bookid) GROUP BY 1""",
     "stub_filter": "SELECT doc_id, length(t) >= 400 AND NOT regexp_matches(lower(t), 'do not download|obsolete format|alternative ids|redirect disabled') AND len(regexp_extract_all(t, '[A-Za-z0-9]{3,}')) >= 40 AS is_book FROM (SELECT doc_id, trim(coalesce(text, ''), E' \\t\\n\\x0B\\f\\r') AS t FROM documents)",
     "markup_flag": r"SELECT kind, id, regexp_matches(t, '(?i)<(html|head|body|div|p|span|table|style|script)\b') OR regexp_matches(t, '(?i)<\?xml|<!\[CDATA\[') OR len(regexp_extract_all(t, '(?i)</?[a-z][^>]{0,200}>')) >= 10 AS is_markup FROM (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'p', page_id, coalesce(html, '') FROM pages)",
     "marker_mismatch": "SELECT * FROM (VALUES (-1::BIGINT, 98::BIGINT, false), (-2, 99, true), (-3, NULL, false), (-4, NULL, false), (-5, 7, false), (-6, NULL, false), (-7, 12, true)) v(id, found, mismatch) UNION ALL SELECT doc_id AS id, doc_id % 50 AS found, doc_id % 50 <> doc_id % 75 AS mismatch FROM documents",
