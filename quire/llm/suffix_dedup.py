@@ -6,7 +6,7 @@ Equal strings name equal anchors at equal places, so only suffixes that start sh
 anchor can share ``LEAST`` bytes. Anchors that occur once end the matter after one count. Of the others, those whose
 whole surroundings are equal match as a whole; one of each surroundings goes, with its bytes, to the group of its
 anchor. There the suffix array of all starts is built backwards, a byte at a time, from the order of the suffixes one
-byte on, together with the LCP array.
+byte on, together with the LCP array. A group too large for a task is split by more of what its strings must share.
 
 In suffix order a suffix has an earlier match of LEAST bytes just if the previous or next smaller position is reached
 over LCPs of LEAST or more (its longest previous factor is that long). That keeps first copies and removes later ones.
@@ -19,7 +19,7 @@ once; that they are copies of each other is a count.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ LEAST, GRAM = 200, 80
 LEFT = LEAST - GRAM
 #: A long text is hashed in stretches of so many bytes, and so many more at both ends.
 STRETCH, MARGIN = 256 << 10, 2 * LEAST
-#: Surroundings that are sorted together, and those of one anchor beyond which strings are matched by hash instead.
+#: Surroundings that are sorted together, and those of one group beyond which it is split.
 BLOCK, HOT = 60_000, 200_000
 #: Rows of a batch of surroundings, and what stands for a null id in the order of rows.
 ROWS, NO_ID = 4000, (1 << 63) - 1
@@ -161,11 +161,12 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def group_spans(group: np.ndarray, order: np.ndarray, before: list[bytes], after: list[bytes], first: bool) -> tuple[np.ndarray, np.ndarray]:
+def group_spans(group: np.ndarray, order: np.ndarray, before: list[bytes], after: list[bytes], first: bool, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes around each anchor that strings of LEAST bytes of its group cover: how many before it and after it (0, 0: none).
 
-    ``group`` is the anchor's group, ``order`` the position of each anchor in reading order. With ``first``, only strings
-    that have an earlier match count; else those with a match anywhere.
+    ``group`` is the anchor's group, ``order`` the position of each anchor in reading order; its group matches strings that
+    start ``low`` to ``high`` bytes before it. With ``first``, only strings that have an earlier match count; else those with
+    a match anywhere.
     """
     n = len(group)
     left, right = np.array([len(b) for b in before]), np.array([len(a) for a in after])
@@ -180,7 +181,7 @@ def group_spans(group: np.ndarray, order: np.ndarray, before: list[bytes], after
     lcp[1:] = np.minimum(lcp[1:], np.minimum(right[sa[1:]], right[sa[:-1]]))
     lcp[1:][dense[sa[1:]] != dense[sa[:-1]]] = 0
     lowest, highest = np.full(n, LEAST), np.full(n, -1)
-    for back in range(LEFT + 1):
+    for back in range(int(high.max(initial=0)) + 1):
         if back:
             # suffixes one byte longer: sorted by group and that byte, in the order of what follows; a step over others takes the least LCP
             has = left[sa] >= back
@@ -200,23 +201,26 @@ def group_spans(group: np.ndarray, order: np.ndarray, before: list[bytes], after
         hit = has_earlier(order[sa], lcp, LEAST)
         if not first:
             hit |= has_earlier(n - 1 - order[sa], lcp, LEAST)  # the mirrored factors: matches further on
-        found = sa[hit]
+        found = sa[hit & (low[sa] <= back) & (back <= high[sa])]
         lowest[found] = np.minimum(lowest[found], back)
         highest[found] = np.maximum(highest[found], back)
     return np.where(highest >= 0, highest, 0), np.where(highest >= 0, LEAST - lowest, 0)
 
 
 def _match(first: bool):
+    """Kernel over surroundings whose first column is their group."""
+
     def solve(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
         order = np.empty(t.num_rows, np.int64)
         order[np.lexsort([t[c].to_numpy() for c in ("place", "k2", "k1", "first_id")])] = np.arange(t.num_rows)
-        lo, hi = group_spans(t["gram"].to_numpy(), order, t["before"].to_pylist(), t["after"].to_pylist(), first)
+        low, high = (t[c].to_numpy() if c in t.column_names else np.full(t.num_rows, all_of) for c, all_of in (("low", 0), ("high", LEFT)))
+        lo, hi = group_spans(t.column(0).to_numpy(), order, t["before"].to_pylist(), t["after"].to_pylist(), first, low, high)
         keep = pa.array(np.flatnonzero(hi > 0))
         return pa.RecordBatch.from_arrays([t["gram"].combine_chunks().take(keep), t["around"].combine_chunks().take(keep), pa.array(lo.astype(np.int32)).take(keep), pa.array(hi.astype(np.int32)).take(keep)], names=["gram", "around", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches sorted by gram; whole groups are solved, up to BLOCK rows of them at once."""
+        """Batches sorted by group; whole groups are solved, up to BLOCK rows of them at once."""
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
@@ -240,29 +244,44 @@ def _match(first: bool):
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every string of LEAST bytes over an anchor."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            a, b, which, back = [], [], [], []
-            for i in range(part.num_rows):
-                before, after = part.column(6)[i].as_py(), part.column(7)[i].as_py()
-                data = np.frombuffer(before + after, np.uint8)
-                starts = np.arange(max(0, len(data) - LEAST + 1))
-                starts = starts[starts <= len(before)]
-                sums, inverse = hash_sums(data)
-                h = (sums[starts + LEAST] - sums[starts]) * inverse[starts]
-                a.append(mixed(h))
-                digests = [hashlib.blake2b(data[s : s + LEAST].tobytes(), digest_size=8).digest() for s in starts]
-                b.append(np.frombuffer(b"".join(digests), np.int64))
-                which.append(np.full(len(starts), i))
-                back.append(len(before) - starts)
-            rows = pa.array(np.concatenate(which))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b)), *[part.column(c).take(rows) for c in range(6)], pa.array(np.concatenate(back).astype(np.int32))],
-                names=["wa", "wb", "gram", "around", "first_id", "k1", "k2", "place", "back"],
-            )
+SPANS = "gram long, around long, lo int, hi int"
+_AT = ("first_id", "k1", "k2", "place")
+
+
+def _split(rows: DataFrame, hot: int, first: bool) -> DataFrame:
+    """Spans of anchors in more than ``hot`` surroundings (``rows``, as :func:`_surroundings` gives them).
+
+    A string that starts ``low`` to ``high`` bytes before its anchor holds the ``low`` bytes before it and LEAST - ``high``
+    from it on, so only surroundings that have these in common can share it, and they are sorted together. Groups that are
+    still too large have their range of starts halved again, which makes what must be equal longer. With one start left
+    the strings of a group are equal: all reach their neighbours, and the smallest position of all has no smaller one.
+    """
+    shared = F.concat(F.expr("substring(before, octet_length(before) - low + 1, low)"), F.expr(f"substring(after, 1, {LEAST} - high)"))
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
+    columns = ["gram", "around", *_AT, "before", "after"]
+    rows = rows.select(*columns, F.lit(0).alias("low"), F.lit(LEFT).alias("high"))
+    at, spans, tables = F.struct(*_AT), [], []
+    while True:
+        dealt = rows.select(*columns, F.inline(halves)).where((F.octet_length("before") >= F.col("low")) & (F.octet_length("after") >= LEAST - F.col("high")))
+        dealt = dealt.select(F.xxhash64("gram", "low", "high", shared).alias("group"), *columns, "low", "high")
+        # written, so that the join deals both of its sides and a very large group can be split
+        sizes = written(dealt.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "repeats-halves")
+        now = written(dealt.join(sizes, "group"), "repeats-split")
+        small = now.where(F.col("members") <= hot).drop("members").repartition("group").sortWithinPartitions("group")
+        spans.append(written(small.mapInArrow(_match(first), SPANS), "repeats-spans"))
+        large = now.where(F.col("members") > hot)
+        equal = large.where("low = high").withColumn("string", shared)
+        ends = equal.groupBy("group", "string").agg(F.min(at).alias("lo_at"), F.max(at).alias("hi_at")).where("lo_at <> hi_at")
+        hit = equal.join(ends, ["group", "string"]).where(at != F.col("lo_at") if first else F.lit(True))
+        spans.append(written(hit.select("gram", "around", F.col("low").alias("lo"), (LEAST - F.col("low")).alias("hi")), "repeats-spans"))
+        for table in (sizes, *tables):
+            dropped(table)
+        rows, tables = large.where("low < high"), [now]
+        if rows.isEmpty():
+            break
+    dropped(now)
+    return functools.reduce(DataFrame.unionByName, spans).groupBy("gram", "around").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def without(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, bytes]:
@@ -320,7 +339,7 @@ def remove_repeats(docs: DataFrame, keep: str = "none", hot: int = HOT) -> DataF
     marks = written(met.groupBy("gram", "around", "k1", "k2", "place").agg(early), "repeats-anchors")
     dropped(met)
     dropped(again)
-    at = F.struct("first_id", "k1", "k2", "place")
+    at = F.struct(*_AT)
     kinds = written(marks.groupBy("gram", "around").agg(F.min(at).alias("one"), F.max(at).alias("last")), "repeats-surroundings")
     sizes = written(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "repeats-open")
     open_kinds = kinds.join(sizes, "gram").select("gram", "around", "kinds", "one.*")
@@ -328,18 +347,16 @@ def remove_repeats(docs: DataFrame, keep: str = "none", hot: int = HOT) -> DataF
     texts = long_ones.groupBy(key).agg(F.first("text").alias("text"))
     held = written(texts.join(asked, key).select("k1", "k2", "text", "at"), "repeats-texts")
     schema = "gram long, around long, first_id long, k1 long, k2 long, place int, before binary, after binary"
-    some = lambda test: held.select("k1", "k2", "text", F.filter("at", test).alias("at")).where(F.size("at") > 0).mapInArrow(_surroundings, schema)
-    sorted_groups = some(lambda m: m["kinds"] <= hot).repartition("gram").sortWithinPartitions("gram")
-    spans = sorted_groups.mapInArrow(_match(keep == "first"), "gram long, around long, lo int, hi int")
-    # an anchor in more surroundings than a task sorts: strings over it are matched by hash, which aggregates
-    windows = some(lambda m: m["kinds"] > hot).mapInArrow(_windows, "wa long, wb long, gram long, around long, first_id long, k1 long, k2 long, place int, back int")
-    start = F.struct("first_id", "k1", "k2", (F.col("place") - F.col("back")).alias("start"))
-    shared = windows.groupBy("wa", "wb").agg(F.min(start).alias("lo_at"), F.max(start).alias("hi_at")).where("lo_at <> hi_at")
-    both = windows.join(shared, ["wa", "wb"])
-    if keep == "first":
-        both = both.where(start != F.col("lo_at"))
-    hot_spans = both.groupBy("gram", "around").agg(F.max("back").alias("lo"), (LEAST - F.min("back")).cast("int").alias("hi"))
-    spans = written(spans.unionByName(hot_spans), "repeats-spans")
+    some = lambda test: held.select("k1", "k2", "text", F.filter("at", test).alias("at")).where(F.size("at") > 0)
+    sorted_groups = some(lambda m: m["kinds"] <= hot).mapInArrow(_surroundings, schema).repartition("gram").sortWithinPartitions("gram")
+    spans = sorted_groups.mapInArrow(_match(keep == "first"), SPANS)
+    if not sizes.where(F.col("kinds") > hot).isEmpty():
+        large = written(some(lambda m: m["kinds"] > hot).mapInArrow(_surroundings, schema), "repeats-large")
+        spans = spans.unionByName(_split(large, hot, keep == "first"))
+        spans = written(spans, "repeats-spans")
+        dropped(large)
+    else:
+        spans = written(spans, "repeats-spans")
     dropped(held)
     # a surrounding that occurs twice is covered whole
     cover = kinds.join(spans, ["gram", "around"], "left").withColumn("whole", F.col("one") != F.col("last")).where("whole or hi is not null")

@@ -43,7 +43,7 @@ def fixture():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("keep", "hot"), [("none", sd.HOT), ("none", 1), ("first", sd.HOT), ("first", 1)])
+@pytest.mark.parametrize(("keep", "hot"), [("none", sd.HOT), ("none", 1), ("none", 4), ("first", sd.HOT), ("first", 1), ("first", 4)])
 def test_against_brute_force(spark, keep, hot):
     texts = fixture()
     rows = spark.createDataFrame([(i, t, i) for i, t in texts], "doc_id long, text string, place long")
