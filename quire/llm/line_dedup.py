@@ -133,7 +133,8 @@ def marked_lines(rows: DataFrame, least_docs: int, least_chars: int, batches: in
     dropped(lines)
     dropped(frequent)
     whole = rows.select("row", text.alias("text")).withColumn("t", F.xxhash64("text")).withColumn("u", F.hash("text"))
-    met = whole.join(drop, (F.col("t") == F.col("_dt")) & (F.col("u") == F.col("_du")), "left")
+    # a merge join at every size: the places grow with the input, so a small input's broadcast would only hide that texts are dealt
+    met = whole.join(drop.hint("merge"), (F.col("t") == F.col("_dt")) & (F.col("u") == F.col("_du")), "left")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     told = met.select("row", "text", n_lines.cast("long").alias("n_lines"), "_drop")
     places = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("_drop"))
